@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontam, licenses, mixing, neardup, tokenout, vectors
+from quern.llm import decontam, licenses, mixing, neardup, quality, tokenout, toxicity, vectors
 from quern.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -39,7 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_minhash_dedup, op5_decontaminate, op8_token_output, op9_embedding_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_toxicity, op4_minhash_dedup, op5_decontaminate, op8_token_output, op9_embedding_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
