@@ -8,9 +8,11 @@ places left out: every pair within that distance meets under some key.  For sets
 expected distance is 14.4 of 72, the guarantee holds up to 23, and pairs further apart are still found
 where their errors gather; altogether about 3 in a million such pairs miss every key.
 
-Pairs that meet are confirmed on their full shingle sets.  Most of a key's rows are settled by
-comparing each with the smallest row of the key; afterwards only pairs of rows that are still in
-different components are compared, so a group of copies never shows all its pairs.
+Rows that share a key are confirmed on their full shingle sets.  Each key is led by the one of its rows
+whose keys are shared most, mostly the original of a group of copies, so nearly all keys of a group have the same
+leader.  All rows under keys of one leader form a unit; whatever meets under a key is in the unit of its
+leader, and each pair is compared there once, not once per key.  Units are cut into blocks, a
+task compares two of them and returns only links that tie the groups together, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from quern.llm.graph import components
 
 CHUNKS, CHUNK = 12, 6
 PLACES, BITS = CHUNKS * CHUNK, 12
-#: Signatures further apart than this are not confirmed: at similarity 0.8 beyond six standard deviations.
-FAR = 36
+#: Documents and shingles of a block, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
+_COLUMNS = 4096
 _KEEP = 300_000
 
 
@@ -136,40 +139,101 @@ def index(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, key long")
 
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose signatures are at most FAR apart."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set of sorted distinct hashes."""
+    if len(left) * len(right) <= 16:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left]).reshape(len(left), len(right))
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def places(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        hit = both[at] == flat
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], of[hit][order]
+
+    if not len(both):
+        return out.astype(np.int64)
+    (ca, ra), (cb, rb) = places(a, left), places(b, right)
+    for low in range(0, len(both), _COLUMNS):
+        x, y = np.zeros((len(left), _COLUMNS), np.float32), np.zeros((len(right), _COLUMNS), np.float32)
+        for m, c, r in ((x, ca, ra), (y, cb, rb)):
+            i, j = np.searchsorted(c, [low, low + _COLUMNS])
+            m[r[i:j], c[i:j] - low] = 1
+        out += x @ y.T
+    return np.rint(out).astype(np.int64)
+
+
+def _tied(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most one pair for each id, which connect what the pairs of places p and q connect."""
+    part = np.arange(len(ids))
+    while True:
+        low, before = np.minimum(part[p], part[q]), part.copy()
+        np.minimum.at(part, p, low)
+        np.minimum.at(part, q, low)
+        part = part[part]
+        if (before == part).all():
+            break
+    moved = np.flatnonzero(part != np.arange(len(ids)))
+    return ids[moved], ids[part[moved]]
+
+
+def _links(units: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of the rows (lead, i, j, b, rep, set), grouped by lead, i and j: block i with block j."""
+
+    def compare(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = key[1:]
+        left = [(r, s) for b, r, s in rows if b == i]
+        right = left if i == j else [(r, s) for b, r, s in rows if b == j]
+        if not left or not right:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sets = [[np.frombuffer(s, "<u8") for _, s in side] for side in (left, right)]
+        size = [np.array([len(x) for x in side]) for side in sets]
+        both = overlaps(*sets)
+        near = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+        p, q = np.nonzero(near)
+        ids = np.array([r for r, _ in left] + ([] if i == j else [r for r, _ in right]), np.int64)
+        return _tied(ids, p, q if i == j else q + len(left))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, PLACES) for i in (2, 3))
-            ok = pa.array((a != b).sum(axis=1) <= FAR)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+        at, held, us, vs = None, [], [], []
 
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long").distinct()
+        def close() -> None:
+            if len(held) > 1:
+                u, v = compare(at, held)
+                us.append(u)
+                vs.append(v)
 
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (us, vs)], ["u", "v"])
+            us.clear()
+            vs.clear()
+            return made
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets meet 100 * intersection >= percent * union."""
+        for batch in batches:
+            lead, i, j, b, rep = (batch.column(c).to_pylist() for c in range(5))
+            for k, shingle_set in enumerate(batch.column(5)):
+                if (here := (lead[k], i[k], j[k])) != at:
+                    close()
+                    at, held = here, []
+                held.append((b[k], rep[k], shingle_set.as_py()))
+            yield out()
+        close()
+        yield out()
 
+    return units.mapInArrow(run, "u long, v long")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, held = Words(), None, None
+        words = Words()
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                # the joins leave rows of one v together
-                if held is None or b != last:
-                    last, held = b, shingles(b, size, words)
-                s = shingles(a.as_py(), size, words)
-                both = len(np.intersect1d(s, held, assume_unique=True))
-                good.append(bool(both) and 100 * both >= percent * (len(s) + len(held) - both))
-            ok = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size, words).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())], ["rep", "set"])
 
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, set binary")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -190,34 +254,31 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     member = materialize(some.join(classes, ["h1", "h2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
     reps = member.where("sig is not null").select("rep", "n", "sig")
 
-    # keys that several classes share, each with its smallest class
+    # keys that several classes share, and of each the class whose keys are shared most
     entry = index(reps)
-    shared = entry.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("key", "lead")
-    met = materialize(entry.join(shared, "key").select("key", "rep", "n", "lead"))
-    sizes = reps.select(F.col("rep").alias("lead"), F.col("n").alias("n_lead"))
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    first = met.where("rep <> lead").select("rep", "n", "lead").distinct().join(sizes, "lead").where(fits(F.col("n"), F.col("n_lead")))
-    near = materialize(_near(first.select(F.col("rep").alias("u"), F.col("lead").alias("v")), reps))
-
-    # the rows that remain may need their texts; one pass over the table fetches those
-    needed = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi"))
-    links = materialize(_confirmed(near, texts, size, percent))
-    discard(near)
-
-    tied = components(links).select(F.col("node").alias("rep"), "component_id")
-    held = met.join(tied, "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("part"))
-    split = held.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
-    held = held.join(split, "key")
-    left = held.select("key", F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("part").alias("part_u"))
-    right = held.select("key", F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"))
-    rest = left.join(right, "key").where((F.col("part_u") < F.col("part_v")) & fits(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct()
-    tried = materialize(_near(rest, reps))
-    more = materialize(_confirmed(tried, texts, size, percent))
-    discard(tried, texts, met)
+    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "c")
+    met = materialize(entry.join(shared, "key").select("key", "rep", "n", "c"))
+    score = met.groupBy("rep").agg(F.sum("c").alias("score"))
+    scored = met.select("key", "rep").join(score, "rep")
+    leads = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("neg"))).alias("m")).select("key", (-F.col("m.neg")).alias("lead"))
+    unit = materialize(met.join(leads, "key").select("lead", "rep", "n").distinct())
+
+    # the shingle sets that are compared; one pass over the table fetches those
+    needed = unit.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
+    sets = materialize(_sets(texts, size))
+    blocks = unit.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    dealt = unit.select("lead", "rep").join(blocks, "lead").withColumn("b", F.pmod(F.xxhash64("rep"), "k").cast("int"))
+    upto = F.transform(F.sequence(F.lit(0), F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j")))
+    beyond = F.when(F.col("b") < F.col("k") - 1, F.transform(F.sequence(F.col("b") + 1, F.col("k") - 1), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"))))
+    pairs = F.concat(upto, F.coalesce(beyond, F.array().cast("array<struct<i:int,j:int>>")))
+    dealt = dealt.select("lead", "rep", "b", F.explode(pairs).alias("ij")).select("lead", "ij.i", "ij.j", "b", "rep")
+    tasks = dealt.join(sets, "rep").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "b", "rep").select("lead", "i", "j", "b", "rep", "set")
+    links = materialize(_links(tasks, percent))
+    discard(met, unit, sets)
 
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    comp = components(links.unionByName(more).unionByName(copies)).withColumnRenamed("node", "doc_id")
+    comp = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
     out = s.select("doc_id", F.col("n").alias("n_shingles")).join(comp, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

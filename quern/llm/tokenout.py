@@ -17,6 +17,7 @@ lengths tell which symbol holds a document's i-th id without expanding the other
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -39,36 +40,94 @@ _HEAD = struct.Struct("<4s5Q")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level tokenizers write for bytes: printable ones stay, others follow from 256."""
+    stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in stay)}
+
+
+_LETTERS = _byte_letters()
+_MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+
+
 class Encoder:
-    """Ids of whole texts as uint32 arrays, by way of a bounded cache of words.
+    """Ids of whole texts as uint32 arrays, by way of bounded caches of words.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of
-    its white-space-separated pieces in turn.  That needs a tokenizer of that kind.
+    its white-space-separated pieces in turn; it also lower-cases, and parts letters from a full stop or comma
+    behind them, so words in plain letters go straight to its merges.
     """
 
-    KEEP = 300_000
-
+    KEEP = 500_000
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        self.tok, self.end, self.size = tok, np.array([end_id], "<u4").tobytes(), tok.get_vocab_size()
+        self.tok = Tokenizer.from_file(path)
+        self.size, self.end = self.tok.get_vocab_size(), end_id
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.plain: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        learn = self._learn
 
         class Cache(dict):
-            def __missing__(cache, piece: str) -> bytes:
-                ids = cache[piece] = np.array(tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            def __missing__(cache, word: str) -> bytes:
+                ids = cache[word] = learn(word)
                 return ids
 
         self.cache = Cache()
-
-    def __call__(self, text: str | None) -> bytes:
+        # words are taken apart only for a tokenizer that folds case, parts marks and maps bytes to letters
+        tests = ("ab", "straße", "éàü", "thereandback", "x")
+        self.apart = all(self._ids(f"{w.title()}.") == [*self._direct(w), *self._ids(".")] for w in tests)
+
+    def _direct(self, word: str) -> list[int]:
+        try:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            return [t.id for t in self.tok.model.tokenize(letters)]
+        except Exception:  # the model has no way to go without the other steps
+            return []
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        """A word's ids: letters of Latin-1 and the ASCII marks behind them each for itself, others as they are."""
+        stem = word.rstrip(_MARKS)
+        if not self.apart or not stem.isalpha():
+            return self._bytes(self._ids(word))
+        low, mark = stem.lower(), word[len(stem) :]
+        if (ids := self.plain.get(low)) is None:
+            if not low.isascii() and max(low) > "\xff":
+                return self._bytes(self._ids(word))
+            ids = self.plain[low] = self._bytes(self._direct(low))
+        if (end := self.marks.get(mark)) is None:
+            end = self._bytes(self._ids(mark))
+            if len(self.marks) < 10_000:
+                self.marks[mark] = end
+        return ids + end
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian uint32."""
         if len(self.cache) > self.KEEP:
             self.cache.clear()
-        if not text:
-            return self.end
-        if _ODD.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        return b"".join(map(self.cache.__getitem__, text.split())) + self.end
+        if len(self.plain) > self.KEEP:
+            self.plain.clear()
+        cache = self.cache
+        end = self._bytes([self.end])
+        get = cache.__getitem__
+        whole = (self._bytes(self._ids(t)) + end if t and _ODD.search(t) else b"".join(map(get, (t or "").split())) + end for t in texts)
+        return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in whole]
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """The one encoder of this process; tasks of one worker share its caches."""
+    return Encoder(path, end_id)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND, least: int = LEAST):
@@ -209,20 +268,22 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, shard_ids: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, shard = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        coder, part, shard = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         ids, parts, held = [], [], 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "blob": pa.array([pack(ids, parts, encoder.size, rounds)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "blob": pa.array([pack(ids, parts, coder.size, rounds)], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                parts.append(encoder(text.as_py()))
-                held += len(parts[-1]) // 4
-                if held >= shard_ids:
-                    yield close()
-                    ids, parts, held, shard = [], [], 0, shard + 1
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                for doc_id, coded in zip(some.column(0).to_pylist(), coder.many(some.column(1).to_pylist()), strict=True):
+                    ids.append(doc_id)
+                    parts.append(coded)
+                    held += len(coded) // 4
+                    if held >= shard_ids:
+                        yield close()
+                        ids, parts, held, shard = [], [], 0, shard + 1
         if ids:
             yield close()
 
