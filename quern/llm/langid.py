@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +16,8 @@ from quern.llm.common import materialize
 from quern.llm.quality import held_out
 
 LANGUAGES = ("de", "en", "es", "fr")
-#: Labelled texts that the likelihoods are fitted on at most (those of least hash), and n-grams kept.
-FIT_TEXTS, FIT_GRAMS = 4_000, 30_000
+#: Labelled texts that the likelihoods are fitted on at most (those of least hash); bits of an n-gram's hash.
+FIT_TEXTS, BITS = 4_000, 16
 #: n-grams of a text hang together: their log likelihood counts as that of so many words at most.
 FULL_WORDS = 40
 #: Pages that a level of the hierarchy weighs against the level below it.
@@ -31,16 +31,32 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 #: Keys with more than this share of the rows are joined by broadcast; there can't be more of them than its inverse.
 HOT_SHARE = 1000
 
-_WORD = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|nav|noscript)\b.*?(?:</\1\s*>|\Z)|<[^>]*>?")
 _DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
-_KEEP = 200_000
 
 
-def grams(word: str) -> list[str]:
-    """The word's letters, pairs and triples, with its ends marked."""
-    w = f"<{word}>"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point of the basic plane is a letter; those beyond it are not counted."""
+    return np.array([chr(i).isalpha() for i in range(1 << 16)] + [False])
+
+
+def grams(text: str | None) -> tuple[np.ndarray, int]:
+    """Hash buckets of a whole text's letters, pairs and triples inside words with their ends, and the number of words."""
+    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[np.minimum(c, np.uint32(1 << 16))]
+    c = np.concatenate([[0], np.where(letter, c, 0), [0]]).astype(np.uint32)
+    # one mark between two words
+    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+    at = np.flatnonzero(c)
+    if not len(at):
+        return np.zeros(0, np.int64), 0
+    one, two = c * np.uint32(0x9E3779B1), c[:-1] * np.uint32(0x85EBCA77) ^ c[1:] * np.uint32(0xC2B2AE3D)
+    three = two[:-1] * np.uint32(0x27D4EB2F) ^ c[2:] * np.uint32(0x165667B1)
+    h = np.concatenate([one[at], two ^ np.uint32(0x5BD1E995), three[at - 1]])
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return (h >> np.uint32(32 - BITS)).astype(np.int64), int((c[at - 1] == 0).sum())
 
 
 def visible(markup: str | None) -> str:
@@ -54,66 +70,40 @@ def declared(markup: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
-class Likelihood:
-    """Log likelihoods of whole texts under each language, from those of their n-grams; words are kept."""
-
-    def __init__(self, table: dict[str, np.ndarray], width: int):
-        self.table, self.width, self.known = table, width, {}
-        self.none = np.zeros(width)
+def likelihood(text: str | None, table: np.ndarray) -> tuple[np.ndarray, int]:
+    """Log likelihoods of a whole text under each language, the largest 0, and its number of words."""
+    h, n = grams(text)
+    z = np.zeros(table.shape[1])
+    for i in range(0, len(h), 1 << 16):
+        z += table[h[i : i + (1 << 16)]].sum(axis=0)
+    z *= FULL_WORDS / max(FULL_WORDS, n)
+    return z - z.max(), n
 
-    def word(self, w: str) -> np.ndarray:
-        got = self.known.get(w)
-        if got is None:
-            got = self.known[w] = sum((self.table.get(g, self.none) for g in grams(w)), self.none)
-        return got
 
-    def of(self, text: str | None) -> tuple[np.ndarray, int]:
-        """The log likelihoods, the largest 0, and the number of words."""
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        count = Counter(_WORD.findall((text or "").lower()))
-        if not count:
-            return self.none, 0
-        n = sum(count.values())
-        z = np.fromiter(count.values(), np.float64, len(count)) @ np.array([self.word(w) for w in count])
-        z *= FULL_WORDS / max(FULL_WORDS, n)
-        return z - z.max(), n
+def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
+    """log p(n-gram | language) by hash bucket and language, from rows of (doc_id, text, lang) that aren't held out.
 
-
-def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> dict[str, np.ndarray]:
-    """log p(n-gram | language) from rows of (doc_id, text, lang) that aren't held out.
-
-    At most FIT_TEXTS rows are read; n-grams are counted on the executors and the FIT_GRAMS commonest kept.
-    Without any row of these languages the table is empty and text says nothing.
+    At most FIT_TEXTS rows are read and counted on the executors; buckets that none of them has say nothing.
     """
     wanted = labelled.where(F.col("lang").isin(*languages) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = wanted.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("l")), "doc_id").limit(FIT_TEXTS).distinct()
     rows = wanted.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").select("text", "lang")
-    names = [f"n{i}" for i in range(len(languages))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(languages), 1 << BITS), np.int64)
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Counter(_WORD.findall((text or "").lower()))
-                each: Counter[str] = Counter()
-                for w, n in words.items():
-                    for g in grams(w):
-                        each[g] += n
-                at = languages.index(lang)
-                for g, n in each.items():
-                    if g not in sums:
-                        sums[g] = np.zeros(len(languages), np.int64)
-                    sums[g][at] += n
-            m = np.array(list(sums.values()), np.int64).reshape(-1, len(languages))
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(m[:, i]) for i in range(len(languages)))], ["gram", *names])
-
-    sums = rows.mapInArrow(count, "gram string, " + ", ".join(f"{n} long" for n in names)).groupBy("gram").agg(*(F.sum(n).alias(n) for n in names))
-    total = sum((F.col(n) for n in names), F.lit(0))
-    got = sums.withColumn("total", total).where("total >= 3").orderBy(F.desc("total"), "gram").limit(FIT_GRAMS).collect()
-    m = np.array([[r[n] for n in names] for r in got], np.float64).reshape(-1, len(languages)) + 0.5
-    m = np.log(m / m.sum(axis=0)) if len(m) else m
-    return {r["gram"]: m[i] for i, r in enumerate(got)}
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                np.add.at(sums[languages.index(lang)], grams(text.as_py())[0], 1)
+        lang, bucket = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[lang, bucket], pa.int64())], ["lang", "bucket", "n"])
+
+    m = np.zeros((1 << BITS, len(languages)))
+    # one row for each bucket and language at most
+    for r in rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+        m[r["bucket"], r["lang"]] = r["n"]
+    seen = m.sum(axis=1) > 0
+    logs = np.log((m + 0.5) / (m + 0.5)[seen].sum(axis=0)) if seen.any() else m
+    return np.where(seen[:, None], logs, 0.0).astype(np.float32)
 
 
 def _spread_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
@@ -129,16 +119,15 @@ def _spread_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> Data
     return x.select(*left.columns, *(F.col("_got")[c].alias(c) for c in given))
 
 
-def evidence(rows: DataFrame, table: dict[str, np.ndarray], languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def evidence(rows: DataFrame, table: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """id, kind, n_words, ll (log likelihood of each language), declared, host, domain and suffix of rows of (id, kind, text, is_markup, url, site)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Likelihood(table, len(languages)).of
         for batch in batches:
             ll, n, said = [], [], []
             for text, markup in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 t = text.as_py()
-                z, k = of(visible(t) if markup else t)
+                z, k = likelihood(visible(t) if markup else t, table)
                 ll.append(z.tolist())
                 n.append(k)
                 said.append(declared(t) if markup else None)
