@@ -11,8 +11,10 @@ where their errors gather; altogether about 3 in a million such pairs miss every
 Rows that share a key are confirmed on their full shingle sets.  Each key is led by the one of its rows
 whose keys are shared most, mostly the original of a group of copies, so nearly all keys of a group have the same
 leader.  All rows under keys of one leader form a unit; whatever meets under a key is in the unit of its
-leader, and each pair is compared there once, not once per key.  Units are cut into blocks, a
-task compares two of them and returns only links that tie the groups together, never all pairs.
+leader, and each pair is compared there once, not once per key.  Units are cut into blocks, each of which
+gets the leader too, and a task compares the rows of one block.  Rows that their block ties to the leader
+are connected already; only the others of a unit of several blocks are then compared with its other
+blocks.  So a large group of near copies costs as much as its rows, and no link that ties groups is missed.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ CHUNKS, CHUNK = 12, 6
 PLACES, BITS = CHUNKS * CHUNK, 12
 #: Documents and shingles of a block, on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
+#: Words of 64 bits of the bitmap of wanted ids.
+BITMAP = 1 << 17
 _COLUMNS = 4096
 _KEEP = 300_000
 
@@ -124,7 +128,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def index(reps: DataFrame) -> DataFrame:
-    """rep, n and key, for every key of each signature."""
+    """rep and key, for every distinct key of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,11 +136,13 @@ def index(reps: DataFrame) -> DataFrame:
                 continue
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                k = keys(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, PLACES))
-                each = np.repeat(np.arange(part.num_rows), k.shape[1])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(each)), part.column(1).take(pa.array(each)), pa.array(k.ravel().view(np.int64))], ["rep", "n", "key"])
+                k = keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, PLACES))
+                k.sort(axis=1)
+                new = np.concatenate([np.ones((len(k), 1), bool), k[:, 1:] != k[:, :-1]], axis=1)
+                at = np.repeat(np.arange(part.num_rows), k.shape[1])[new.ravel()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(k[new].view(np.int64))], ["rep", "key"])
 
-    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, key long")
+    return reps.select("rep", "sig").mapInArrow(run, "rep long, key long")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -167,73 +173,116 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _tied(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most one pair for each id, which connect what the pairs of places p and q connect."""
-    part = np.arange(len(ids))
+def _parts(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest that the pairs of places p and q connect it with."""
+    part = np.arange(n)
     while True:
         low, before = np.minimum(part[p], part[q]), part.copy()
         np.minimum.at(part, p, low)
         np.minimum.at(part, q, low)
         part = part[part]
         if (before == part).all():
-            break
-    moved = np.flatnonzero(part != np.arange(len(ids)))
-    return ids[moved], ids[part[moved]]
+            return part
 
 
 def _links(units: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of the rows (lead, i, j, b, rep, set), grouped by lead, i and j: block i with block j."""
-
-    def compare(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = key[1:]
-        left = [(r, s) for b, r, s in rows if b == i]
-        right = left if i == j else [(r, s) for b, r, s in rows if b == j]
-        if not left or not right:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Links (u, v) of the rows (lead, i, j, side, many, rep, set), grouped by lead, i and j.
+
+    Rows of side 0 are compared with those of side 1, or with one another where no row has side 1.  Where
+    the unit has many blocks, a row (u, null, lead) says that this block doesn't tie u to its leader.
+    """
+
+    def compare(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        left = [(r, s) for side, r, s in rows if not side]
+        right = [(r, s) for side, r, s in rows if side]
+        alone = not right
+        right = right or left
         sets = [[np.frombuffer(s, "<u8") for _, s in side] for side in (left, right)]
-        size = [np.array([len(x) for x in side]) for side in sets]
+        size = [np.array([len(x) for x in side], np.int64) for side in sets]
         both = overlaps(*sets)
         near = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
         p, q = np.nonzero(near)
-        ids = np.array([r for r, _ in left] + ([] if i == j else [r for r, _ in right]), np.int64)
-        return _tied(ids, p, q if i == j else q + len(left))
+        ids = np.array([r for r, _ in left] + ([] if alone else [r for r, _ in right]), np.int64)
+        part = _parts(len(ids), p, q if alone else q + len(left))
+        moved = np.flatnonzero(part != np.arange(len(ids)))
+        led = {int(part[i]) for i in np.flatnonzero(ids == key[0])}
+        return ids[moved], ids[part[moved]], [int(ids[i]) for i in range(len(ids)) if int(part[i]) not in led]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, us, vs = None, [], [], []
+        at, held, out = None, [], []
 
         def close() -> None:
-            if len(held) > 1:
-                u, v = compare(at, held)
-                us.append(u)
-                vs.append(v)
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (us, vs)], ["u", "v"])
-            us.clear()
-            vs.clear()
-            return made
+            if not held:
+                return
+            u, v, loose = compare(at, held)
+            out.extend(zip(u.tolist(), v.tolist(), [None] * len(u), strict=True))
+            if at[3]:
+                out.extend((x, None, at[0]) for x in loose)
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "lead"])
 
         for batch in batches:
-            lead, i, j, b, rep = (batch.column(c).to_pylist() for c in range(5))
-            for k, shingle_set in enumerate(batch.column(5)):
-                if (here := (lead[k], i[k], j[k])) != at:
+            lead, i, j, side, many, rep = (batch.column(c).to_pylist() for c in range(6))
+            for k, shingle_set in enumerate(batch.column(6)):
+                if (here := (lead[k], i[k], j[k], many[k])) != at:
                     close()
                     at, held = here, []
-                held.append((b[k], rep[k], shingle_set.as_py()))
-            yield out()
+                held.append((side[k], rep[k], shingle_set.as_py()))
+            yield made()
         close()
-        yield out()
+        yield made()
 
-    return units.mapInArrow(run, "u long, v long")
+    return units.mapInArrow(run, "u long, v long, lead long")
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
+def _dealt_sets(docs: DataFrame, dealt: DataFrame, size: int) -> DataFrame:
+    """The rows (lead, i, j, side, many, rep) of dealt with rep's shingle set, brought together by lead, i and j.
+
+    Texts are filtered by a bitmap of the wanted ids first, so that few of them are shuffled; it has
+    BITMAP words at most and lets all pass when it is full, as the join behind it decides.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("int")
+    wanted = dealt.groupBy("rep").agg(F.collect_list(F.struct("lead", "i", "j", "side", "many")).alias("to"))
+    bitmap = dealt.select(word("rep").alias("_w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(rep, 'bit'), 64) as int))").alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_w", word("doc_id"))
+    texts = texts.join(F.broadcast(bitmap), "_w").where(F.expr("shiftright(_bits, cast(pmod(xxhash64(doc_id, 'bit'), 64) as int)) & 1 = 1")).select("doc_id", "text")
+    rows = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "to", "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size, words).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())], ["rep", "set"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, set binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t.as_py(), size, words).astype("<u8").tobytes() for t in batch.column(2)], pa.binary())], ["rep", "to", "set"])
+
+    kind = "array<struct<lead:bigint,i:int,j:int,side:int,many:boolean>>"
+    x = rows.select("rep", F.col("to").cast(kind).alias("to"), "text").mapInArrow(run, f"rep long, to {kind}, set binary")
+    x = x.where(F.length("set") > 0).select(F.explode("to").alias("t"), "rep", "set").select("t.lead", "t.i", "t.j", "t.side", "t.many", "rep", "set")
+    return x.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "side", "rep")
+
+
+def _confirm(docs: DataFrame, unit: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) that connect what the links within each unit (lead, rep, n) connect."""
+    blocks = lambda x: x.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    of = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    placed = materialize(unit.join(blocks(unit), "lead").withColumn("b", of("k")))
+    # the leader goes to every block
+    dealt = placed.withColumn("i", F.explode(F.when(F.col("rep") == F.col("lead"), every("k")).otherwise(F.array("b"))))
+    dealt = dealt.select("lead", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), (F.col("k") > 1).alias("many"), "rep")
+    found = materialize(_links(_dealt_sets(docs, dealt, size), percent))
+    links = found.where("v is not null").select("u", "v")
+    loose = found.where("v is null").select("lead", F.col("u").alias("rep")).distinct()
+    if not loose.isEmpty():
+        loose = materialize(loose.join(placed.select("lead", "rep", "n"), ["lead", "rep"]))
+        width = blocks(loose).withColumnRenamed("k", "r")
+        mine = loose.join(width, "lead").withColumn("i", of("r")).join(placed.select("lead", "k").distinct(), "lead")
+        mine = mine.select("lead", "i", F.explode(every("k")).alias("j"), F.lit(0).alias("side"), F.lit(False).alias("many"), "rep")
+        others = placed.join(width, "lead").select("lead", F.explode(every("r")).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("many"), "rep")
+        links = links.unionByName(materialize(_links(_dealt_sets(docs, mine.unionByName(others), size), percent)).where("v is not null").select("u", "v"))
+    discard(placed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -254,28 +303,17 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     member = materialize(some.join(classes, ["h1", "h2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
     reps = member.where("sig is not null").select("rep", "n", "sig")
 
-    # keys that several classes share, and of each the class whose keys are shared most
+    # keys that several classes share, and of each the class whose keys are shared most; a class has a key once
     entry = index(reps)
-    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "c")
-    met = materialize(entry.join(shared, "key").select("key", "rep", "n", "c"))
+    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = materialize(entry.join(shared, "key").select("key", "rep", "c"))
     score = met.groupBy("rep").agg(F.sum("c").alias("score"))
     scored = met.select("key", "rep").join(score, "rep")
     leads = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("neg"))).alias("m")).select("key", (-F.col("m.neg")).alias("lead"))
-    unit = materialize(met.join(leads, "key").select("lead", "rep", "n").distinct())
-
-    # the shingle sets that are compared; one pass over the table fetches those
-    needed = unit.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    sets = materialize(_sets(texts, size))
-    blocks = unit.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    dealt = unit.select("lead", "rep").join(blocks, "lead").withColumn("b", F.pmod(F.xxhash64("rep"), "k").cast("int"))
-    upto = F.transform(F.sequence(F.lit(0), F.col("b")), lambda i: F.struct(i.alias("i"), F.col("b").alias("j")))
-    beyond = F.when(F.col("b") < F.col("k") - 1, F.transform(F.sequence(F.col("b") + 1, F.col("k") - 1), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"))))
-    pairs = F.concat(upto, F.coalesce(beyond, F.array().cast("array<struct<i:int,j:int>>")))
-    dealt = dealt.select("lead", "rep", "b", F.explode(pairs).alias("ij")).select("lead", "ij.i", "ij.j", "b", "rep")
-    tasks = dealt.join(sets, "rep").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "b", "rep").select("lead", "i", "j", "b", "rep", "set")
-    links = materialize(_links(tasks, percent))
-    discard(met, unit, sets)
+    unit = met.select("key", "rep").join(leads, "key").select("lead", "rep").distinct()
+    unit = materialize(unit.join(reps.select("rep", "n"), "rep"))
+    links = _confirm(docs, unit, size, percent)
+    discard(met, unit)
 
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comp = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
