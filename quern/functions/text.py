@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.stopwords import ENGLISH
 
-#: White space as Unicode has it; Java's \s alone is ASCII.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+#: White space that Java's \\s doesn't know.
+RARE_SPACE = "[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 #: Words that the word tokenizer parts in two.
 CONTRACTIONS = {"cannot": ("can", "not"), "gonna": ("gon", "na"), "gotta": ("got", "ta"), "gimme": ("gim", "me"), "lemme": ("lem", "me"), "wanna": ("wan", "na")}
 
@@ -17,14 +17,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spaced(text: Column | str) -> Column:
+    """Rare white space as blanks; what follows needs to know the plain kind only."""
+    return F.regexp_replace(_col(text), RARE_SPACE, " ")
+
+
 def squash(text: Column | str) -> Column:
     """White space runs to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(_col(text), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(spaced(text), r"\s+", " "))
 
 
 def tokens(text: Column | str) -> Column:
     """The words between white space; none for null, empty or blank text."""
-    return F.array_remove(F.split(F.coalesce(_col(text), F.lit("")), f"{SPACE}+"), "")
+    return _split(spaced(text))
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
 
 
 def word_count(text: Column | str) -> Column:
@@ -33,13 +42,17 @@ def word_count(text: Column | str) -> Column:
 
 def letters_only(text: Column | str) -> Column:
     """Lower case with everything but a-z and white space left out, not replaced: a-b becomes ab."""
-    return F.regexp_replace(F.lower(_col(text)), "[^a-zA-Z\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]", "")
+    return F.regexp_replace(F.lower(spaced(text)), r"[^a-z\s]+", "")
+
+
+def letter_words(text: Column | str) -> Column:
+    return _split(letters_only(text))
 
 
 def words(text: Column | str) -> Column:
     """Tokens of the letters, contractions parted."""
     parts = F.create_map(*(x for k, v in CONTRACTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    found = tokens(letters_only(text))
+    found = letter_words(text)
     some = F.exists(found, lambda t: t.isin(*CONTRACTIONS))
     return F.when(some, F.flatten(F.transform(found, lambda t: F.coalesce(F.try_element_at(parts, t), F.array(t))))).otherwise(found)
 
@@ -51,7 +64,7 @@ def content_words(text: Column | str) -> Column:
 
 def sentences(text: Column | str) -> Column:
     """Cut behind . ! or ? and the white space there."""
-    return F.split(_col(text), rf"(?<=[.!?]){SPACE}+")
+    return F.split(_col(text), rf"(?<=[.!?])(?:\s|{RARE_SPACE})+")
 
 
 def paragraphs(text: Column | str) -> Column:
@@ -66,7 +79,7 @@ def slices(words: Column, size: int) -> Column:
 
 def without_edit(text: Column | str) -> Column:
     """Headings without the link text "(edit)" at their end."""
-    return F.regexp_replace(_col(text), rf"{SPACE}*\({SPACE}*edit{SPACE}*\){SPACE}*$", "")
+    return F.regexp_replace(_col(text), r"(?U)\s*\(\s*edit\s*\)\s*$", "")
 
 
 def strip_html(markup: Column | str) -> Column:

@@ -103,7 +103,8 @@ def chunk_texts(docs: DataFrame, most: int = MAX_WORDS, doc: str = "doc_id", tex
 
 def slice_texts(docs: DataFrame, most: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, chunk_id, content): runs of `most` words, all native."""
-    x = docs.select(doc, F.posexplode(X.slices(X.tokens(text), most)).alias("chunk_id", "w"))
+    # a column of its own, or the text would be split anew for every slice
+    x = docs.select(doc, X.tokens(text).alias("_w")).select(doc, F.posexplode(X.slices(F.col("_w"), most)).alias("chunk_id", "w"))
     return x.select(doc, "chunk_id", F.array_join("w", " ").alias("content"))
 
 

@@ -11,18 +11,19 @@ from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.stopwords import ENGLISH
 from quern.operators import answers, bm25, chunks, metrics, sections, topk, vector_search, word_vectors
-from quern.session import ship
+from quern.session import ship, spread
 
 WIDTH = 64
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def _plain(text: str):
-    return X.tokens(X.letters_only(F.col(text)))
+    return X.letter_words(text)
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
