@@ -21,8 +21,7 @@ BROADCAST_SEEDS = 200_000
 
 
 def _words(text: Column) -> Column:
-    flat = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), GAP, " "))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def seeds(benchmark: DataFrame, masks=MASKS, span: int = SPAN) -> DataFrame:
@@ -81,10 +80,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, masks=MASKS, span: int =
 def _pass(docs: DataFrame, by_anchor: DataFrame, block: list[str], few: bool, masks, span: int, agree: int) -> DataFrame:
     x = docs.select("doc_id", _words(F.col("text")).alias("_w"))
     # each place of an anchor with span - 1 words on either side; `left` of them stand before it
-    place = lambda w, i: F.struct(
-        w.alias("anchor"), F.least(i, F.lit(span - 1)).alias("left"), i.alias("i")
+    place = lambda w, i: F.when(
+        w.isin(block), F.struct(w.alias("anchor"), F.least(i, F.lit(span - 1)).alias("left"), i.alias("i"))
     )
-    hits = F.filter(F.transform("_w", place), lambda h: h["anchor"].isin(block)) if block else F.array().cast("array<struct<anchor:string,left:int,i:int>>")
+    hits = F.array_compact(F.transform("_w", place)) if block else F.array().cast("array<struct<anchor:string,left:int,i:int>>")
     hits = F.transform(hits, lambda h: F.struct(h["anchor"].alias("anchor"), h["left"].alias("left"), F.slice("_w", h["i"] - h["left"] + 1, 2 * span - 1).alias("near")))
     # equal surroundings in one text say the same
     x = x.select("doc_id", F.explode(F.array_distinct(hits)).alias("h")).select("doc_id", "h.*")
