@@ -21,6 +21,7 @@ import functools
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,13 +59,16 @@ class Encoder:
     behind them, so words in plain letters go straight to its merges.
     """
 
-    KEEP = 500_000
+    #: Words with and without marks that are kept; both caches are emptied when full.
+    KEEP, KEEP_PLAIN = 1_200_000, 800_000
+
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.size, self.end = self.tok.get_vocab_size(), end_id
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.model, self.letter = self.tok.model, "H" if self.kind == "<u2" else "I"
         self.plain: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         learn = self._learn
@@ -82,7 +86,7 @@ class Encoder:
     def _direct(self, word: str) -> list[int]:
         try:
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            return [t.id for t in self.tok.model.tokenize(letters)]
+            return [t.id for t in self.model.tokenize(letters)]
         except Exception:  # the model has no way to go without the other steps
             return []
 
@@ -90,7 +94,7 @@ class Encoder:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.letter, ids).tobytes()
 
     def _learn(self, word: str) -> bytes:
         """A word's ids: letters of Latin-1 and the ASCII marks behind them each for itself, others as they are."""
@@ -112,7 +116,7 @@ class Encoder:
         """The ids of each text and the end id, as little-endian uint32."""
         if len(self.cache) > self.KEEP:
             self.cache.clear()
-        if len(self.plain) > self.KEEP:
+        if len(self.plain) > self.KEEP_PLAIN:
             self.plain.clear()
         cache = self.cache
         end = self._bytes([self.end])
@@ -140,13 +144,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
         if len(s) < 2:
             break
         a, b = s[:-1], s[1:]
-        bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - 18)
-        free = ~ends[:-1]
-        counts = np.bincount(bucket[free], minlength=_BUCKETS)
+        bucket = a * np.uint32(0x9E3779B1)
+        bucket ^= b * np.uint32(0x85EBCA77)
+        bucket >>= np.uint32(32 - 18)
+        # pairs over the end of a document have a bucket of their own
+        bucket[ends[:-1]] = _BUCKETS
+        counts = np.bincount(bucket, minlength=_BUCKETS + 1)
+        counts[_BUCKETS] = 0
         full = np.argpartition(counts, -most)[-most:]
-        hot = np.zeros(_BUCKETS, bool)
+        hot = np.zeros(_BUCKETS + 1, bool)
         hot[full[counts[full] >= least]] = True
-        at = np.flatnonzero(hot[bucket] & free)
+        at = np.flatnonzero(hot[bucket])
         if not len(at):
             break
         pairs, inverse, n = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_inverse=True, return_counts=True)
