@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +67,8 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, block: int = BL
     fine = fine & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("e", lambda v: v != 0)
     usable = x.where(F.coalesce(fine, F.lit(False)))
     picked = usable.orderBy(F.xxhash64("vec_id", "e"), "vec_id").limit(fit_rows).select("e").toPandas()["e"]
-    width = max((len(v) for v in picked), key=[len(v) for v in picked].count, default=0)
+    lengths = Counter(map(len, picked))
+    width = max(lengths, key=lambda n: (lengths[n], n), default=1)
     sample = _unit(np.array([v for v in picked if len(v) == width], dtype=np.float64).reshape(-1, width))
     total = usable.count()
     centroids = fit_cells(sample, min(512, max(1, total // (8 * block))))
