@@ -299,11 +299,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
         raise ValueError("the signatures are laid out for similarities of 80 percent or more")
     s = materialize(sketch(docs, size))
     some = s.where("sig is not null and doc_id is not null")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    member = materialize(some.join(classes, ["h1", "h2", "n"]).select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
+    # only sets that stand more than once; written first, so that the join can split a large class over tasks
+    classes = materialize(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    rep = F.coalesce("rep", "doc_id")
+    member = materialize(some.join(classes, ["h1", "h2", "n"], "left").select("doc_id", rep.alias("rep"), "n", F.when(F.col("doc_id") == rep, F.col("sig")).alias("sig")))
+    discard(classes)
     reps = member.where("sig is not null").select("rep", "n", "sig")
 
-    # keys that several classes share, and of each the class whose keys are shared most; a class has a key once
+    # keys that several classes share, and of each the class whose keys are shared most; repeated rows only
+    # make units of one, which link nothing
     entry = index(reps)
     shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialize(entry.join(shared, "key").select("key", "rep", "c"))
