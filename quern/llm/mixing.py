@@ -42,7 +42,9 @@ def water_fill(sources: DataFrame, max_epochs: float, budget: Column | None = No
     x = x.withColumn("budget", F.least(total.cast("double"), F.sum("cap").over(every)))
     live = F.when(F.col("fill") > 0, F.col("weight")).otherwise(0.0)
     x = x.withColumn("level", F.try_divide(F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum(live).over(after)))
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(every)["level"]
+    # by row, not by fill: of equal fills the later ones have their equals counted as clamped
+    x = x.withColumn("row", F.row_number().over(order))
+    level = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("row", "level"))).over(every)["level"]
     x = x.withColumn("level", level)
     x = x.withColumn("target", F.when(F.col("fill") <= 0, 0.0).otherwise(F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap"))))
     return x.select("source", "source_size", "weight", "target")

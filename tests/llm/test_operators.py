@@ -90,6 +90,15 @@ def test_water_fill_equals_repeated_clamping(spark):
             assert got[f"s{i}"] == pytest.approx(t, abs=1e-6)
 
 
+@pytest.mark.parametrize("sizes", [[100] * 6, [100] * 30, [40_000, 1, 50, 5, 50, 1, 0, 1000, 1, 5, 50, 1]])
+def test_water_fill_with_equal_sources(spark, sizes):
+    weights = [1.0 + i % 3 for i in range(len(sizes))]
+    for epochs in (1.0, 1.5, 3.0):
+        df = spark.createDataFrame([(f"s{i:02}", s, w) for i, (s, w) in enumerate(zip(sizes, weights))], "source string, source_size long, weight double")
+        got = [r["target"] for r in mixing.water_fill(df, epochs).orderBy("source").collect()]
+        assert got == pytest.approx(filled(sizes, weights, epochs), abs=1e-6) and sum(got) == pytest.approx(sum(sizes))
+
+
 def test_mix_takes_the_targets(spark, awkward, empty):
     x = rows(mixing.mix(awkward))
     assert len(x) == len(AWKWARD) and set(awkward.columns) <= set(x[0])
