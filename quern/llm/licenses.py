@@ -28,6 +28,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited"),
 )
+#: The templates and the notice that also stands alone; the SQL of op10_license_scan is fixed to TEMPLATES.
+NOTICES = (*TEMPLATES, ("proprietary", "All rights reserved"))
 THRESHOLD = 0.9
 
 #: What separates words: everything but digits, letters and non-ASCII; one class spares line ends.

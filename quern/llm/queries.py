@@ -63,8 +63,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_license_scan with the bare notice, which its SQL leaves out."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.NOTICES).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_toxicity, op4_minhash_dedup, op5_decontaminate, op6_language_id, op7_secret_scan, op8_token_output, op9_embedding_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_toxicity, op4_minhash_dedup, op5_decontaminate, op6_language_id, op7_secret_scan, op8_token_output, op9_embedding_dedup, op10_license_scan, op10_license_notices)}
 
 
 def oracle_sql() -> dict[str, str]:

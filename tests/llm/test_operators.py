@@ -379,3 +379,12 @@ def test_licences_equal_sql(spark, awkward, empty):
     by = {r["doc_id"]: r for r in x.collect()}
     assert by[11]["n_base"] == 4 and by[11]["base_labels"] == "apache,gpl,mit" and by[2]["n_words"] == 0 and "bsd" in by[10]["labels"]
     assert licenses.scan(awkward).count() == len(AWKWARD) and licenses.scan(empty).count() == 0
+
+
+def test_every_kind_of_notice_line_gets_a_label(spark):
+    kinds = {"mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "proprietary": "All rights reserved."}
+    docs = spark.createDataFrame([(k, f"some prose\n{t}\nmore prose") for k, t in kinds.items()] + [("", "all the rest is\nreserved for rights"), ("", None)], "doc_id string, text string")
+    assert all(r["labels"] == r["doc_id"] and (r["score"] == 1) == (r["labels"] != "") for r in licenses.scan(docs, templates=licenses.NOTICES).collect())
+    docs = table(spark, "documents").where(F.regexp_like("text", F.lit(r"(?im)^(All rights reserved|Released under|Licensed under|This work is licensed)")))
+    found = licenses.scan(docs, templates=licenses.NOTICES)
+    assert found.count() > 0 and found.where("labels = '' or score < 0.9").count() == 0
