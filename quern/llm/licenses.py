@@ -67,10 +67,32 @@ def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: held.get(w, 0) for w in vocabulary}
 
 
-def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
+def _window_hits(prepared: list[tuple[str, list[str], int, list[str]]], windows: list[int]) -> Column:
+    """The templates that windows of the words `_ws` of `_flat` meet: label and largest part, by template and place.
+
+    A window that meets a template holds one of its prefix words, so only windows around those are formed.
+    """
+    none = F.array().cast("array<struct<label:string,part:double>>")
+
+    def met(label: str, ordered: list[str], need: int, prefix: list[str], n: int) -> Column:
+        whole = F.array(*map(F.lit, ordered))
+        shared = lambda block: F.size(F.array_intersect(block, whole))
+        # a prefix word with n - 1 words on either side; equal surroundings say the same
+        near = lambda w, i: F.when(w.isin(prefix), F.slice("_ws", F.greatest(i - (n - 2), F.lit(1)), F.least(i, F.lit(n - 1)) + n))
+        places = F.filter(F.array_distinct(F.array_compact(F.transform("_ws", near))), lambda b: shared(b) >= need)
+        best = lambda b: F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(b) - (n - 1))), lambda k: shared(F.slice(b, k, n))))
+        most = F.filter(F.transform(places, best), lambda m: m >= need)
+        some = F.regexp_like("_flat", F.lit(" (?:" + "|".join(map(re.escape, prefix)) + ") "))
+        return F.when(some, F.transform(most, lambda m: F.struct(F.lit(label).alias("label"), (m / len(ordered)).alias("part")))).otherwise(none)
+
+    return F.concat(*(met(*p, n) for p, n in zip(prepared, windows, strict=True)))
+
+
+def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, wrapped: bool = False) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score added.
 
-    Text blocks are lines.  A block meets a template when at least ceil(threshold * |template|) of the
+    Text blocks are lines; with `wrapped` also, for each template, all windows of adjacent words that are
+    1 / threshold times as long as the template, over line ends.  A block meets a template when at least ceil(threshold * |template|) of the
     template's distinct words are in it, in any order.  Template words are ordered by their frequency in
     all lines, rarest first; a block that holds none of a template's first |T| - need + 1 words can't
     meet it (prefix filter), nor one with fewer than need distinct words (length filter), nor one whose
@@ -96,11 +118,13 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD,
     x = x.withColumn("_has", has)
     base = F.array_compact(F.array(*[F.when(F.contains("_flat", F.lit(f" {p} ")), F.lit(label)) for p, label in phrases]))
 
-    prepared = []
+    prepared, windows = [], []
     for label, words in sets:
         ordered = sorted(words, key=lambda w: (counts[w], w))
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
         prepared.append((label, ordered, need, ordered[: len(ordered) - need + 1]))
+    for _, text in templates:
+        windows.append(math.ceil(len(re.sub(GAP, " ", text.lower()).split()) / threshold - 1e-9))
     prefix_words = sorted({w for *_, prefix in prepared for w in prefix})
     some_prefix = " (?:" + "|".join(map(re.escape, prefix_words)) + ") "
 
@@ -117,8 +141,12 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD,
             tests.append(F.when((F.size(words) >= need) & late & (overlap >= need), F.struct(F.lit(label).alias("label"), (overlap / len(ordered)).alias("part"))))
         return F.array_compact(F.array(*tests))
 
+    if wrapped:
+        x = x.withColumn("_ws", F.when(F.regexp_like("_flat", F.lit(some_prefix)), F.filter(F.split("_flat", " "), lambda w: w != "")))
     blocks = F.filter(F.split("_lines", "\n"), lambda b: F.regexp_like(b, F.lit(some_prefix)))
     hits = F.flatten(F.transform(F.transform(blocks, _words), met))
+    if wrapped:
+        hits = F.concat(hits, _window_hits(prepared, windows))
     none = F.array().cast("array<struct<label:string,part:double>>")
     x = x.withColumn("_hits", F.when(F.regexp_like("_lines", F.lit(some_prefix)), hits).otherwise(none))
     first = F.regexp_extract("_flat", f"(?s)^(.*?) {any_phrase} ", 1)

@@ -64,8 +64,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10_license_scan with the bare notice, which its SQL leaves out."""
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.NOTICES).select(
+    """op10_license_scan with the bare notice and wrapped notices, which its SQL leaves out."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.NOTICES, wrapped=True).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
 

@@ -381,10 +381,37 @@ def test_licences_equal_sql(spark, awkward, empty):
     assert licenses.scan(awkward).count() == len(AWKWARD) and licenses.scan(empty).count() == 0
 
 
-def test_every_kind_of_notice_line_gets_a_label(spark):
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_every_kind_of_notice_line_gets_a_label(spark, wrapped):
     kinds = {"mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "proprietary": "All rights reserved."}
     docs = spark.createDataFrame([(k, f"some prose\n{t}\nmore prose") for k, t in kinds.items()] + [("", "all the rest is\nreserved for rights"), ("", None)], "doc_id string, text string")
-    assert all(r["labels"] == r["doc_id"] and (r["score"] == 1) == (r["labels"] != "") for r in licenses.scan(docs, templates=licenses.NOTICES).collect())
+    assert all(r["labels"] == r["doc_id"] and (r["score"] == 1) == (r["labels"] != "") for r in licenses.scan(docs, templates=licenses.NOTICES, wrapped=wrapped).collect())
     docs = table(spark, "documents").where(F.regexp_like("text", F.lit(r"(?im)^(All rights reserved|Released under|Licensed under|This work is licensed)")))
-    found = licenses.scan(docs, templates=licenses.NOTICES)
+    found = licenses.scan(docs, templates=licenses.NOTICES, wrapped=wrapped)
     assert found.count() > 0 and found.where("labels = '' or score < 0.9").count() == 0
+
+
+def test_wrapped_notices_equal_every_window_in_python(spark):
+    rng = random.Random(5)
+    words = lambda t: re.sub(licenses.GAP, " ", t.lower()).split()
+    texts = []
+    for label, t in licenses.NOTICES:
+        for _ in range(6):
+            w = [x for x in t.split() if rng.random() > 0.05]
+            at = sorted(rng.sample(range(1, len(w)), min(3, len(w) - 1))) if len(w) > 1 else []
+            cut = "".join(("\n * " if i in at else " ") + x for i, x in enumerate(w))
+            texts.append(" ".join(rng.choices("the to of software this any all work file".split(), k=rng.randrange(30))) + "\n" * rng.randrange(2) + cut + rng.choice(["", "\n\nthe end", " and so on"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, templates=licenses.NOTICES, phrases=(("no such phrase", "none"),), wrapped=True).collect()}
+    for i, t in enumerate(texts):
+        part, w = {}, words(t)
+        for label, notice in licenses.NOTICES:
+            whole, n = set(words(notice)), math.ceil(len(words(notice)) / 0.9 - 1e-9)
+            blocks = [words(line) for line in t.split("\n")] + [w[k : k + n] for k in range(len(w))]
+            most = max(len(whole & set(b)) for b in blocks)
+            if most >= math.ceil(0.9 * len(whole) - 1e-9):
+                part[label] = max(part.get(label, 0), most / len(whole))
+        assert got[i] == (",".join(sorted(part)), pytest.approx(max(part.values(), default=0)))
+    whole = {i: "\n# ".join(t.split()) for i, (_, t) in enumerate(licenses.TEMPLATES)}
+    docs = spark.createDataFrame([(i, f"prose\n{t}\nprose") for i, t in whole.items()], "doc_id long, text string")
+    assert all(licenses.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1 for r in licenses.scan(docs, templates=licenses.NOTICES, wrapped=True).collect())
