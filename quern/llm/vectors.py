@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,137 +13,251 @@ from pyspark.sql import functions as F
 from quern.llm.common import discard, materialize
 from quern.llm.graph import components
 
-#: Vectors that the cells are fitted on at most; every vector is then dealt to cells.
-FIT_ROWS = 20_000
+#: Vectors and bytes that the cells are fitted on at most; every vector is then dealt to cells.
+FIT_ROWS, FIT_BYTES = 20_000, 32 << 20
+#: Vectors of a cell, about: a label has a power of two of cells, in proportion to its vectors.
+CELL = 128
+#: Cells that a vector is sent to: its own and the nearest others.
+PROBES = 6
 #: Vectors of a block; a task compares two blocks.
 BLOCK = 1024
+#: Bits of a cell's number that one level of centroids gives.
+_LEVEL = 8
 #: Products are compared with this much to spare and settled by a plain sum in double precision.
 _SLACK = 1e-9
 
 
-def fit_cells(sample: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """k unit centroids of unit vectors by spherical k-means, started from rows far apart."""
+def fit_cells(sample: np.ndarray, k: int, rounds: int = 10, unit: bool = True) -> np.ndarray:
+    """k centroids of the rows by k-means started from rows far apart; unit: of unit rows by cosine, else by distance."""
     k = max(1, min(k, len(sample)))
     if not len(sample):
         return np.zeros((0, sample.shape[1] if sample.ndim == 2 else 0))
     rng = np.random.default_rng(7)
+    norms = (sample * sample).sum(axis=1)
+    far = lambda c: np.maximum(0, norms - 2 * (sample @ c) + c @ c)
     at = [int(rng.integers(len(sample)))]
-    near = sample @ sample[at[0]]
+    near = far(sample[at[0]])
     for _ in range(1, k):
-        w = np.maximum(0, 1 - near) ** 2
-        at.append(int(rng.choice(len(sample), p=w / w.sum())) if w.sum() > 0 else int(rng.integers(len(sample))))
-        near = np.maximum(near, sample @ sample[at[-1]])
+        at.append(int(rng.choice(len(sample), p=near / near.sum())) if near.sum() > 1e-9 else int(rng.integers(len(sample))))
+        near = np.minimum(near, far(sample[at[-1]]))
     c = sample[at].copy()
     for _ in range(rounds):
-        own = np.argmax(sample @ c.T, axis=1)
-        for j in range(k):
-            s = sample[own == j].sum(axis=0)
-            n = np.linalg.norm(s)
-            if n > 0:
-                c[j] = s / n
+        own = np.argmax(2 * (sample @ c.T) - (c * c).sum(axis=1), axis=1)
+        sums = np.stack([np.bincount(own, sample[:, j], k) for j in range(sample.shape[1])], axis=1)
+        size = np.linalg.norm(sums, axis=1) if unit else np.bincount(own, minlength=k)
+        c[size > 0] = sums[size > 0] / size[size > 0, None]
     return c
 
 
-def near_duplicates(rows: DataFrame, *, threshold: float = 0.93, block: int = BLOCK, fit_rows: int = FIT_ROWS) -> DataFrame:
+class Cells:
+    """Centroids for any number of cells that is a power of two.
+
+    The first 256 cells are those of spherical k-means; each further level parts every cell by the k-means of what its
+    vectors have beyond its mean, with centroids that all cells share.  So cells may grow with the table
+    without end, while what is fitted and sent out holds some 512 centroids a level.
+    """
+
+    def __init__(self, sample: np.ndarray, bits: int):
+        self.levels: list[dict[int, np.ndarray]] = []
+        self.means = np.zeros((1, sample.shape[1]))
+        rest = sample
+        for level in range(0, max(bits, 1), _LEVEL):
+            most = min(_LEVEL, max(bits, 1) - level)
+            self.levels.append({b: fit_cells(rest, 1 << b, unit=not level) for b in range(most + 1)})
+            if level + most >= bits or not len(sample):
+                break
+            c = self.levels[-1][most]
+            own = np.argmax(2 * (rest @ c.T) - (c * c).sum(axis=1), axis=1)
+            if not level:
+                size = np.maximum(1, np.bincount(own, minlength=len(c)))
+                self.means = np.stack([np.bincount(own, rest[:, j], len(c)) for j in range(rest.shape[1])], axis=1) / size[:, None]
+                c = self.means
+            rest = rest - c[own]
+
+    def nearest(self, x: np.ndarray, bits: int, probes: int) -> np.ndarray:
+        """The numbers of the cells nearest to unit rows x, nearest first, of 1 << bits cells."""
+        if not len(x) or not len(self.levels[0][0]):
+            return np.zeros((len(x), 1), np.int64)
+        first = self.levels[0][min(bits, _LEVEL)]
+        cost, number = -2 * (x @ first.T), np.broadcast_to(np.arange(len(first)), (len(x), len(first)))
+        cost, number = _least(cost, number, probes)
+        if bits <= _LEVEL:
+            return number
+        rest = x[:, None] - self.means[number]
+        for level in range(1, (bits + _LEVEL - 1) // _LEVEL):
+            c = self.levels[level][min(_LEVEL, bits - level * _LEVEL)]
+            cost = (rest * rest).sum(axis=2)[:, :, None] - 2 * (rest @ c.T) + (c * c).sum(axis=1)
+            which = np.broadcast_to(np.arange(cost.shape[1] * len(c)), (len(x), cost.shape[1] * len(c)))
+            _, which = _least(cost.reshape(len(x), -1), which, probes)
+            row = np.arange(len(x))[:, None]
+            number = number[row, which // len(c)] * (1 << _LEVEL) + which % len(c)
+            rest = rest[row, which // len(c)] - c[which % len(c)]
+        return number
+
+
+def _least(cost: np.ndarray, what: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n least costs of each row in order, and what stands there."""
+    n = min(n, cost.shape[1])
+    at = np.argpartition(cost, n - 1, axis=1)[:, :n]
+    order = np.argsort(np.take_along_axis(cost, at, 1), axis=1, kind="stable")
+    at = np.take_along_axis(at, order, 1)
+    return np.take_along_axis(cost, at, 1), np.take_along_axis(what, at, 1)
+
+
+def _matrix(e: pa.Array, width: int) -> np.ndarray:
+    """Unit rows of a column of vectors of one length."""
+    flat = e.combine_chunks() if isinstance(e, pa.ChunkedArray) else e
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return _unit(m)
+
+
+def near_duplicates(
+    rows: DataFrame, *, threshold: float = 0.93, block: int = BLOCK, cell: int = CELL, probes: int = PROBES, fit_rows: int = FIT_ROWS
+) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of (vec_id, embedding, label).
 
     Rows are linked when their labels are equal and not null and their cosine in double precision is at
-    least the threshold.  A vector's home is the cell of the nearest centroid.  Whatever is linked to a
-    vector at home in cell c lies, within the threshold's angle a, on c's side of the plane between c
-    and its own home h, so a vector y is also sent as a guest to each c with y.h - y.c <= |h - c| sin(a): no
-    link is lost, whatever the centroids.  Homes and guests of a cell are cut into blocks and each home block
-    is compared with each block; a task holds two blocks and returns counts and a forest of
-    links, never all pairs.  Centroids are fitted on the fit_rows rows of least hash.
-
-    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
-    label or vec_id, link with nothing: n_links 0, component_id vec_id.  Rows that share a vec_id each
-    count as a vector of their own (equal rows link with each other) and share the component.  Vectors of another length than the fitted ones link only
-    with vectors of their length, in a cell of their own.
+    least the threshold.  Equal vectors of a label form one class, for which one stands.  Each label has
+    about one cell for every `cell` vectors; a vector is at home in the nearest cell and a guest in the
+    `probes` - 1 next ones, and the vectors at home in a cell are compared with each other and with its guests.  A
+    pair is missed only if neither is a guest where the other is at home; the tests measure the
+    recall, also at the threshold itself.  Homes and guests of a cell are cut into blocks, so a crowded cell
+    is many tasks; a task holds two blocks and returns counts and a forest of links, never all pairs.  n_links of
+    a group of g vectors that are all alike but not equal takes g * g products, as it is their count.
+
+    Centroids are fitted on at most fit_rows vectors and FIT_BYTES bytes.  Vectors that are null, empty, zero or
+    hold null or non-finite components, and rows with a null label or vec_id, link with nothing: n_links
+    0, component_id vec_id.  Rows that share a vec_id each count as a vector of their own (equal rows link
+    with each other) and share the component.  Vectors of another length than most link only with vectors of
+    their length, in a cell of their own.  An empty table gives an empty result; other columns are left out.
     """
-    x = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
+    return _compared(rows, threshold, block, cell, probes, fit_rows)[0]
+
+
+def _compared(rows: DataFrame, threshold: float, block: int, cell: int, probes: int, fit_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The result, and (compared, sent) per task: products formed and vectors read."""
+    kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    x = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"), F.col("label").cast("string").alias("label"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0)
     fine = fine & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("e", lambda v: v != 0)
-    usable = x.where(F.coalesce(fine, F.lit(False)))
-    picked = usable.orderBy(F.xxhash64("vec_id", "e"), "vec_id").limit(fit_rows).select("e").toPandas()["e"]
-    lengths = Counter(map(len, picked))
-    width = max(lengths, key=lambda n: (lengths[n], n), default=1)
-    sample = _unit(np.array([v for v in picked if len(v) == width], dtype=np.float64).reshape(-1, width))
-    total = usable.count()
-    centroids = fit_cells(sample, min(512, max(1, total // (8 * block))))
-    reach = math.sin(math.acos(max(-1.0, min(1.0, threshold)))) if threshold > 0 else 2.0
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps = np.sqrt(np.maximum(0, 2 - 2 * (centroids @ centroids.T))) * reach + 1e-9
-        for batch in batches:
-            ids, labels, es = batch.column(0), batch.column(2), batch.column(1)
-            rows = [np.array(v, dtype=np.float64) for v in es.to_pylist()]
-            out = {"row": [], "cell": [], "home": []}
-            same = np.array([len(r) == width for r in rows], bool)
-            whole = _unit(np.array([r for r in rows if len(r) == width]).reshape(-1, width))
-            sims = whole @ centroids.T
-            own = np.argmax(sims, axis=1) if len(whole) else np.zeros(0, int)
-            go = sims[np.arange(len(whole)), own][:, None] - sims <= gaps[own] if len(whole) else np.zeros((0, 0), bool)
-            at = np.flatnonzero(same)
-            r, c = np.nonzero(go)
-            out["row"], out["cell"], out["home"] = [*at[r], *np.flatnonzero(~same)], [*c, *(-len(rows[i]) for i in np.flatnonzero(~same))], [*(own[r] == c), *[True] * int((~same).sum())]
-            pick = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(pick), es.take(pick), labels.take(pick), pa.array(out["cell"], pa.int32()), pa.array(out["home"], pa.bool_())], ["vec_id", "e", "label", "cell", "home"])
-
+    fine = F.coalesce(fine, F.lit(False))
     # a row's number tells it from others with its vec_id
-    numbered = materialize(usable.withColumn("rid", F.monotonically_increasing_id()))
-    dealt = numbered.select("vec_id", "e", F.concat_ws(":", F.col("rid").cast("string"), "label").alias("label"))
-    dealt = dealt.mapInArrow(deal, "vec_id long, e array<double>, label string, cell int, home boolean")
-    dealt = dealt.select("vec_id", "e", F.split("label", ":", 2)[0].cast("long").alias("rid"), F.split("label", ":", 2)[1].alias("label"), "cell", "home")
-    dealt = materialize(dealt)
-    sizes = dealt.groupBy("label", "cell", "home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    wide = sizes.groupBy("label", "cell").agg(F.max(F.when(F.col("home"), F.col("n"))).alias("homes"), F.coalesce(F.max(F.when(~F.col("home"), F.col("n"))), F.lit(0)).alias("guests")).where("homes is not null")
-    # blocks are numbered by hash: homes 0.., guests behind them
-    y = dealt.join(wide, ["label", "cell"])
-    mine = F.when(F.col("home"), F.pmod(F.xxhash64("rid"), F.col("homes"))).otherwise(F.col("homes") + F.pmod(F.xxhash64("rid"), F.greatest("guests", F.lit(1)))).cast("int")
-    y = y.withColumn("b", mine)
-    # home block i meets home blocks j >= i and all guest blocks; i = j once
-    meets = F.when(
-        F.col("home"),
-        F.concat(
-            F.transform(F.sequence(F.col("b"), F.col("homes") + F.col("guests") - 1), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"))),
-            F.when(F.col("b") > 0, F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda i: F.struct(i.alias("i"), F.col("b").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")),
-        ),
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: F.struct(i.alias("i"), F.col("b").alias("j"))))
-    y = y.select("vec_id", "rid", "e", "label", "cell", "b", "homes", F.explode(meets).alias("m")).select("vec_id", "rid", "e", "label", "cell", "b", "homes", "m.i", "m.j")
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
-        rows = rows.sort_values(["vec_id", "rid"])
-        left = rows[rows["b"] == i]
-        right = rows[rows["b"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"vec_id": [], "rid": [], "links": [], "root": []})
-        mutual = j < rows["homes"].iloc[0]
-        a, b = _matrix(left["e"]), _matrix(right["e"])
-        s = a @ b.T
-        yes = s >= threshold + _SLACK
-        for p, q in zip(*np.nonzero((s >= threshold - _SLACK) & ~yes), strict=True):
-            yes[p, q] = math.fsum(a[p] * b[q]) >= threshold
-        if i == j:
-            np.fill_diagonal(yes, False)
-        li, ri = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        # each row's smallest partner, and the forest that ties the block's groups together
-        out = [pd.DataFrame({"vec_id": li, "rid": left["rid"].to_numpy(), "links": yes.sum(1), "root": li})]
-        if i != j and mutual:
-            out.append(pd.DataFrame({"vec_id": ri, "rid": right["rid"].to_numpy(), "links": yes.sum(0), "root": ri}))
-        out.append(_forest(yes, li, ri))
-        out = pd.concat(out)
-        return out[(out["links"] > 0) | (out["root"] != out["vec_id"])]
-
-    found = materialize(y.groupBy("label", "cell", "i", "j").applyInPandas(compare, "vec_id long, rid long, links long, root long"))
-    discard(dealt)
-    comp = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    links = found.where("rid is not null").groupBy("rid").agg(F.sum("links").alias("links"))
-    counts = numbered.select("rid", "vec_id").join(links, "rid").select("rid", "vec_id", "links")
-    rest = x.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"))
-    linked = numbered.select("rid", "vec_id").join(counts.select("rid", "links"), "rid", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    named = x.where(fine).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "label", F.size("e").alias("width"), F.xxhash64("e").alias("h1"), F.xxhash64("e", F.lit(1)).alias("h2"), "e")
+    numbered = materialize(named)
+    same = ["label", "width", "h1", "h2"]
+    classes = numbered.groupBy(*same).agg(F.min(F.struct("vec_id", "rid")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    classes = materialize(classes.select(*same, F.col("first.rid").alias("rep"), F.col("first.vec_id").alias("root"), "m"))
+    member = numbered.select("rid", "vec_id", *same).join(classes, same, "left").select("rid", "vec_id", F.coalesce("rep", "rid").alias("rep"), F.coalesce("root", "vec_id").alias("root"), F.coalesce("m", F.lit(1)).alias("m"))
+    reps = numbered.join(classes, same, "left").where("rep is null or rep = rid").select("rid", "vec_id", "label", "width", F.coalesce("m", F.lit(1)).alias("m"), "e")
+    bits = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / cell))).cast("int")
+    per = materialize(reps.groupBy("label", "width").agg(F.count(F.lit(1)).alias("n")).withColumn("bits", bits))
+    top = per.groupBy("width").agg(F.sum("n").alias("n"), F.max("bits").alias("bits")).orderBy(F.desc("n"), "width").first()
+    width, total, most = (top["width"], top["n"], top["bits"]) if top else (1, 0, 0)
+    room = max(1, min(fit_rows, FIT_BYTES // (8 * width)))
+    some = F.pmod(F.xxhash64("rid", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, room / max(1, total)))
+    sample = reps.where((F.col("width") == width) & some).select("e").limit(2 * room).toArrow().column("e")
+    cells = Cells(_matrix(sample, width), most)
+
+    def deal(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1024):
+                    yield from part(batch.slice(k, 1024))
+
+        def part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            widths, wanted = batch.column("width").to_numpy(), batch.column("bits").to_numpy()
+            for n in np.unique(wanted):
+                for usual in (True, False):
+                    at = np.flatnonzero((wanted == n) & ((widths == width) == usual))
+                    if not len(at):
+                        continue
+                    held = batch.take(pa.array(at))
+                    near = cells.nearest(_matrix(held.column("e"), width), int(n), probes) if usual else np.zeros((len(at), 1), np.int64)
+                    p = near.shape[1]
+                    row = pa.array(np.repeat(np.arange(len(at)), p))
+                    out = [held.column(c).take(row) for c in ("label", "width")] + [pa.array(near.ravel()), pa.array(np.tile(np.arange(p) == 0, len(at)))]
+                    if whole:
+                        every = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), p).cast(pa.list_(pa.int64()))
+                        out += [every.take(row), *(held.column(c).take(row) for c in ("rid", "vec_id", "m", "e"))]
+                    yield pa.RecordBatch.from_arrays(out, names[: len(out)])
+
+        names = ["label", "width", "cell", "home", "cells", "rid", "vec_id", "m", "e"]
+        schema = "label string, width int, cell long, home boolean"
+        return sized.mapInArrow(run, schema + (f", cells array<long>, rid long, vec_id long, m long, e {kind}" if whole else ""))
+
+    sized = reps.join(per.select("label", "width", "bits"), ["label", "width"])
+    blocks = lambda home: F.ceil(F.count_if(F.col("home") == home) / block).cast("int")
+    # crowded cells only; of all others both numbers are 1
+    crowded = materialize(deal(False).groupBy("label", "width", "cell").agg(blocks(True).alias("homes"), blocks(False).alias("guests")).where("homes > 1 or (homes = 1 and guests > 1)"))
+    y = deal(True).join(crowded, ["label", "width", "cell"], "left").fillna(1, ["homes", "guests"])
+    y = y.withColumn("b", F.pmod(F.xxhash64("rid"), F.when(F.col("home"), F.col("homes")).otherwise(F.greatest(F.lit(1), "guests"))).cast("int"))
+    # home block i meets the home blocks from i on and every guest block
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    along = F.transform(F.sequence(F.lit(0), F.greatest("homes", "guests") - 1), lambda j: pair(F.col("b"), j))
+    down = F.transform(F.filter(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: i < F.col("b")), lambda i: pair(i, F.col("b")))
+    across = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: pair(i, F.col("b")))
+    y = y.withColumn("to", F.explode(F.when(F.col("home"), F.concat(along, down)).otherwise(across)))
+    y = y.select("label", "width", "cell", "home", "cells", "rid", "vec_id", "m", "e", "b", "to.i", "to.j")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        n, own, i, j = (k.as_py() for k in key[1:])
+        col = lambda c: t.column(c).to_numpy()
+        home, b, rid, vid, m = col("home").astype(bool), col("b"), col("rid"), col("vec_id"), col("m")
+        left = np.flatnonzero(home & (b == i))
+        left = left[np.lexsort((rid[left], vid[left]))]
+        right = np.flatnonzero((home & (b == j) & (j > i)) | (~home & (b == j)))
+        v = _matrix(t.column("e"), n)
+        nearest = t.column("cells").combine_chunks()
+        nearest = nearest.flatten().to_numpy().reshape(len(rid), -1)
+        links, p_all, q_all = np.zeros(len(rid), np.int64), [], []
+
+        def meet(p_at: np.ndarray, q_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            s = v[p_at] @ v[q_at].T
+            yes = s >= threshold + _SLACK
+            for p, q in zip(*np.nonzero((s >= threshold - _SLACK) & ~yes), strict=True):
+                yes[p, q] = math.fsum(v[p_at[p]] * v[q_at[q]]) >= threshold
+            p, q = np.nonzero(yes)
+            return p_at[p], q_at[q]
+
+        compared = 0
+        if i == j and len(left):
+            p, q = meet(left, left)
+            apart = p != q
+            p, q = p[apart], q[apart]
+            np.add.at(links, p, m[q])
+            p_all.append(p), q_all.append(q)
+            compared += len(left) * len(left)
+        if len(left) and len(right):
+            p, q = meet(left, right)
+            np.add.at(links, p, m[q])
+            # a guest at whose home p is a guest counts p there, any other counts it here
+            here = home[q].copy()
+            for k in range(0, len(p), 1 << 18):
+                of = slice(k, k + (1 << 18))
+                here[of] |= ~(nearest[p[of]] == nearest[q[of], :1]).any(axis=1)
+            np.add.at(links, q[here], m[p[here]])
+            p_all.append(p), q_all.append(q)
+            compared += len(left) * len(right)
+        some = np.flatnonzero(links)
+        p, q = (np.concatenate([np.zeros(0, np.int64), *a]) for a in (p_all, q_all))
+        ids, roots = _forest(vid, p, q)
+        gap = lambda k: pa.nulls(k, pa.int64())
+        out = [pa.concat_arrays([pa.array(rid[some]), gap(len(ids) + 1)]), pa.concat_arrays([pa.array(links[some]), gap(len(ids) + 1)]),
+               pa.concat_arrays([gap(len(some)), pa.array(ids), gap(1)]), pa.concat_arrays([gap(len(some)), pa.array(roots), gap(1)]),
+               pa.concat_arrays([gap(len(some) + len(ids)), pa.array([compared])]), pa.concat_arrays([gap(len(some) + len(ids)), pa.array([len(rid)])])]
+        return pa.table(out, names=["rid", "links", "u", "v", "compared", "sent"])
+
+    found = materialize(y.groupBy("label", "width", "cell", "i", "j").applyInArrow(compare, "rid long, links long, u long, v long, compared long, sent long"))
+    edges = found.where("u is not null").select("u", "v").unionByName(member.where("vec_id <> root").select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
+    comp = components(edges)
+    links = found.where("rid is not null").groupBy("rid").agg(F.sum("links").alias("links")).withColumnRenamed("rid", "rep")
+    linked = member.join(links, "rep", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"))
+    rest = x.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"))
     out = linked.unionByName(rest).join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return out.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+    component = F.coalesce("component_id", "vec_id")
+    out = out.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    discard(per, crowded)
+    return out, found.where("compared is not null").select("compared", "sent")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -155,23 +267,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _matrix(es: pd.Series) -> np.ndarray:
-    return _unit(np.stack([np.asarray(e, dtype=np.float64) for e in es]))
-
-
-def _forest(yes: np.ndarray, li: np.ndarray, ri: np.ndarray) -> pd.DataFrame:
-    """Links that connect what the true pairs of this block connect, one for each row and column at most."""
-    p, q = np.nonzero(yes)
-    n = len(li)
-    comp = np.arange(n + len(ri))
+def _forest(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that connect what the pairs of places p and q connect, one for each place at most."""
+    comp = np.arange(len(ids))
     while True:
-        low = np.minimum(comp[p], comp[n + q])
+        low = np.minimum(comp[p], comp[q])
         before = comp.copy()
         np.minimum.at(comp, p, low)
-        np.minimum.at(comp, n + q, low)
+        np.minimum.at(comp, q, low)
         comp = comp[comp]
         if (before == comp).all():
             break
-    ids = np.concatenate([li, ri])
-    touched = np.unique(np.concatenate([p, n + q]))
-    return pd.DataFrame({"vec_id": ids[touched], "rid": pd.array([None] * len(touched), "Int64"), "links": np.zeros(len(touched), np.int64), "root": ids[comp[touched]]})
+    moved = np.flatnonzero(comp != np.arange(len(ids)))
+    return ids[moved], ids[comp[moved]]
