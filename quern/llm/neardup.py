@@ -8,7 +8,9 @@ places left out: every pair within that distance meets under some key.  For sets
 expected distance is 14.4 of 72, the guarantee holds up to 23, and pairs further apart are still found
 where their errors gather; altogether about 3 in a million such pairs miss every key.
 
-Rows that share a key are confirmed on their full shingle sets.  Each key is led by the one of its rows
+Rows that share a key are compared by signature: pairs that differ in more than FAR = 30 places are dropped before any
+text moves.  A pair of similarity 0.8 differs in more with a probability of 7 in a million, one of 0.45
+in no more with 1 percent.  What is left is confirmed on full shingle sets.  Each key is led by the one of its rows
 whose keys are shared most, mostly the original of a group of copies, so nearly all keys of a group have the same
 leader.  All rows under keys of one leader form a unit; whatever meets under a key is in the unit of its
 leader, and each pair is compared there once, not once per key.  Units are cut into blocks, each of which
@@ -34,6 +36,10 @@ CHUNKS, CHUNK = 12, 6
 PLACES, BITS = CHUNKS * CHUNK, 12
 #: Documents and shingles of a block, on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
+#: Places in which the signatures of a pair may differ for its sets to be compared.
+FAR = 30
+#: Near pairs a row from which a task's rows are compared all at once.
+DENSE = 64
 #: Words of 64 bits of the bitmap of wanted ids.
 BITMAP = 1 << 17
 _COLUMNS = 4096
@@ -185,104 +191,191 @@ def _parts(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
             return part
 
 
-def _links(units: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of the rows (lead, i, j, side, many, rep, set), grouped by lead, i and j.
-
-    Rows of side 0 are compared with those of side 1, or with one another where no row has side 1.  Where
-    the unit has many blocks, a row (u, null, lead) says that this block doesn't tie u to its leader.
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of batches sorted by their first columns, one table for each value of those."""
+    at, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if (here := tuple(int(c[low]) for c in columns)) != at:
+                if held:
+                    yield at, pa.Table.from_batches(held)
+                at, held = here, []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The places of side 0, those of side 1 (of side 0 again where there are none), and whether there are none."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, (right if len(right) else left), not len(right)
+
+
+def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many places every left signature agrees with every right one."""
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for p in range(left.shape[1]):
+        out += left[:, p, None] == right[None, :, p]
+    return out
+
+
+def _near(dealt: DataFrame) -> DataFrame:
+    """What of the tasks (lead, i, j, side, rep, sig) lies within FAR places of each other.
+
+    Rows of side 0 meet those of side 1, or one another where no row has side 1.  A task with few near pairs gives
+    each as (dense false, lead and rep the pair, i and j of its task); one with more than DENSE pairs a
+    row gives its rows that have any (dense true), to be compared by sets all at once.
     """
 
-    def compare(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        left = [(r, s) for side, r, s in rows if not side]
-        right = [(r, s) for side, r, s in rows if side]
-        alone = not right
-        right = right or left
-        sets = [[np.frombuffer(s, "<u8") for _, s in side] for side in (left, right)]
-        size = [np.array([len(x) for x in side], np.int64) for side in sets]
-        both = overlaps(*sets)
-        near = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
-        p, q = np.nonzero(near)
-        ids = np.array([r for r, _ in left] + ([] if alone else [r for r, _ in right]), np.int64)
-        part = _parts(len(ids), p, q if alone else q + len(left))
-        moved = np.flatnonzero(part != np.arange(len(ids)))
-        led = {int(part[i]) for i in np.flatnonzero(ids == key[0])}
-        return ids[moved], ids[part[moved]], [int(ids[i]) for i in range(len(ids)) if int(part[i]) not in led]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+
+        def made() -> pa.RecordBatch:
+            kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, bool)
+            columns = [pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k)) for k, c in zip(kinds, out, strict=True)]
+            for c in out:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, ["lead", "i", "j", "side", "rep", "dense"])
+
+        for (lead, i, j), t in _groups(batches, 3):
+            if t.num_rows < 2:
+                continue
+            rep, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
+            left, right, alone = _sides(side)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
+            near = agreeing(sig[left], sig[right]) >= PLACES - FAR
+            near &= rep[left][:, None] != rep[right][None, :]
+            if alone:
+                near = np.triu(near)
+            p, q = np.nonzero(near)
+            p, q = left[p], right[q]
+            some = np.unique(np.concatenate([p, q]))
+            if len(p) > DENSE * len(some):
+                rows = (np.full(len(some), lead), np.full(len(some), i), np.full(len(some), j), side[some], rep[some], np.ones(len(some), bool))
+            else:
+                rows = (rep[p], np.full(len(p), i), np.full(len(p), j), np.ones(len(p)), rep[q], np.zeros(len(p), bool))
+            for c, r in zip(out, rows, strict=True):
+                c.append(r)
+            if len(out[0]) > 1000:
+                yield made()
+        yield made()
+
+    x = dealt.select("lead", "i", "j", "side", "rep", "sig").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    return x.mapInArrow(run, "lead long, i int, j int, side int, rep long, dense boolean")
+
+
+def _links(tasks: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of the rows (lead, i, j, side, rep, set), sorted by lead, i and j.
+
+    They connect what the true links of a task connect; rows of a task that are connected with its leader
+    are told by lead, else null.  Rows without u give the number of pairs of sets compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], []
+        out: list[list[int | None]] = [[], [], [], []]
 
-        def close() -> None:
-            if not held:
-                return
-            u, v, loose = compare(at, held)
-            out.extend(zip(u.tolist(), v.tolist(), [None] * len(u), strict=True))
-            if at[3]:
-                out.extend((x, None, at[0]) for x in loose)
+        def add(*row: int | None) -> None:
+            for c, v in zip(out, row, strict=True):
+                c.append(v)
 
         def made() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "lead"])
-
-        for batch in batches:
-            lead, i, j, side, many, rep = (batch.column(c).to_pylist() for c in range(6))
-            for k, shingle_set in enumerate(batch.column(6)):
-                if (here := (lead[k], i[k], j[k], many[k])) != at:
-                    close()
-                    at, held = here, []
-                held.append((side[k], rep[k], shingle_set.as_py()))
-            yield made()
-        close()
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["u", "v", "lead", "compared"])
+            for c in out:
+                c.clear()
+            return batch
+
+        for (lead, _, _), t in _groups(batches, 3):
+            left, right, alone = _sides(t.column("side").to_numpy())
+            if not len(left) or t.num_rows < 2:
+                continue
+            ids, blobs = t.column("rep").to_numpy(), t.column("set").to_pylist()
+            sets = [np.frombuffer(s, "<u8") for s in blobs]
+            size = np.array([len(s) for s in sets], np.int64)
+            both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            p, q = np.nonzero(100 * both >= percent * (size[left][:, None] + size[right][None, :] - both))
+            p, q = left[p], right[q]
+            part = _parts(len(ids), p, q)
+            led = {int(part[k]) for k in np.flatnonzero(ids == lead)}
+            for k in np.flatnonzero(part != np.arange(len(ids))).tolist():
+                add(int(ids[k]), int(ids[part[k]]), None, None)
+            for k in np.unique(np.concatenate([p, q])).tolist():
+                if int(part[k]) in led and int(ids[k]) != lead:
+                    add(int(ids[k]), lead, lead, None)
+            add(None, None, None, len(left) * (len(left) - 1) // 2 if alone else len(left) * len(right))
+            if len(out[0]) > 10_000:
+                yield made()
         yield made()
 
-    return units.mapInArrow(run, "u long, v long, lead long")
+    return tasks.mapInArrow(run, "u long, v long, lead long, compared long")
 
 
 def _dealt_sets(docs: DataFrame, dealt: DataFrame, size: int) -> DataFrame:
-    """The rows (lead, i, j, side, many, rep) of dealt with rep's shingle set, brought together by lead, i and j.
+    """The rows (lead, i, j, side, rep) of dealt with rep's shingle set, brought together by lead, i and j.
 
-    Texts are filtered by a bitmap of the wanted ids first, so that few of them are shuffled; it has
+    Texts are filtered by a bitmap of the wanted ids first, so that few of them are read on; it has
     BITMAP words at most and lets all pass when it is full, as the join behind it decides.
     """
     word = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("int")
-    wanted = dealt.groupBy("rep").agg(F.collect_list(F.struct("lead", "i", "j", "side", "many")).alias("to"))
     bitmap = dealt.select(word("rep").alias("_w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(rep, 'bit'), 64) as int))").alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_w", word("doc_id"))
     texts = texts.join(F.broadcast(bitmap), "_w").where(F.expr("shiftright(_bits, cast(pmod(xxhash64(doc_id, 'bit'), 64) as int)) & 1 = 1")).select("doc_id", "text")
-    rows = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "to", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t.as_py(), size, words).astype("<u8").tobytes() for t in batch.column(2)], pa.binary())], ["rep", "to", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size, words).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())], ["rep", "set"])
 
-    kind = "array<struct<lead:bigint,i:int,j:int,side:int,many:boolean>>"
-    x = rows.select("rep", F.col("to").cast(kind).alias("to"), "text").mapInArrow(run, f"rep long, to {kind}, set binary")
-    x = x.where(F.length("set") > 0).select(F.explode("to").alias("t"), "rep", "set").select("t.lead", "t.i", "t.j", "t.side", "t.many", "rep", "set")
+    sets = texts.mapInArrow(run, "rep long, set binary").where(F.length("set") > 0)
+    x = dealt.select("lead", "i", "j", "side", "rep").join(sets, "rep").select("lead", "i", "j", "side", "rep", "set")
     return x.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "side", "rep")
 
 
-def _confirm(docs: DataFrame, unit: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) that connect what the links within each unit (lead, rep, n) connect."""
-    blocks = lambda x: x.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+def _verified(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v, lead, compared) as _links gives them, for the tasks of dealt: signatures first, then sets of what is near."""
+    near = materialize(_near(dealt))
+    # a pair that several tasks give is compared once; in each task's own group, so that no row gathers all its partners
+    pairs = near.where("not dense").groupBy("lead", "rep").agg(F.min(F.struct("i", "j")).alias("t")).select("lead", F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.lit(1).alias("side"), "rep")
+    pairs = materialize(pairs)
+    heads = pairs.select("lead", "i", "j").distinct().select("lead", "i", "j", F.lit(0).alias("side"), F.col("lead").alias("rep"))
+    some = near.where("dense").select("lead", "i", "j", "side", "rep")
+    # the numbers of blocks tell no pair's task from a dense one, the sign of j does
+    back = lambda x: x.withColumn("j", -1 - F.col("j"))
+    found = materialize(_links(_dealt_sets(docs, some.unionByName(back(pairs)).unionByName(back(heads)), size), percent))
+    discard(near, pairs)
+    return found
+
+
+def _confirm(docs: DataFrame, unit: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) that connect what the links within each unit (lead, rep, n, sig) connect; and the numbers of set pairs compared."""
+    blocks = lambda x: x.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k")).where("k > 1")
     of = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    placed = materialize(unit.join(blocks(unit), "lead").withColumn("b", of("k")))
+    # units of several blocks only: a small table, written first, so that large units need not meet in one task
+    many = materialize(blocks(unit))
+    placed = unit.join(many, "lead", "left").fillna(1, ["k"]).withColumn("b", of("k"))
     # the leader goes to every block
     dealt = placed.withColumn("i", F.explode(F.when(F.col("rep") == F.col("lead"), every("k")).otherwise(F.array("b"))))
-    dealt = dealt.select("lead", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), (F.col("k") > 1).alias("many"), "rep")
-    found = materialize(_links(_dealt_sets(docs, dealt, size), percent))
-    links = found.where("v is not null").select("u", "v")
-    loose = found.where("v is null").select("lead", F.col("u").alias("rep")).distinct()
+    found = _verified(docs, dealt.withColumns({"j": F.lit(0), "side": F.lit(0)}), size, percent)
+    tied = found.where("lead is not null").select("lead", F.col("u").alias("rep"))
+    tied = tied.unionByName(tied.select(F.col("rep").alias("lead"), F.col("lead").alias("rep"))).distinct()
+    loose = placed.where("k > 1 and rep <> lead").join(tied, ["lead", "rep"], "left_anti")
+    loose = materialize(loose.select("lead", "rep", "n", "sig", "k"))
     if not loose.isEmpty():
-        loose = materialize(loose.join(placed.select("lead", "rep", "n"), ["lead", "rep"]))
-        width = blocks(loose).withColumnRenamed("k", "r")
-        mine = loose.join(width, "lead").withColumn("i", of("r")).join(placed.select("lead", "k").distinct(), "lead")
-        mine = mine.select("lead", "i", F.explode(every("k")).alias("j"), F.lit(0).alias("side"), F.lit(False).alias("many"), "rep")
-        others = placed.join(width, "lead").select("lead", F.explode(every("r")).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), F.lit(False).alias("many"), "rep")
-        links = links.unionByName(materialize(_links(_dealt_sets(docs, mine.unionByName(others), size), percent)).where("v is not null").select("u", "v"))
-    discard(placed)
-    return links
+        wide = materialize(loose.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("r")))
+        mine = loose.join(wide, "lead").withColumn("i", of("r")).withColumn("j", F.explode(every("k"))).withColumn("side", F.lit(0))
+        others = placed.where("k > 1").join(wide, "lead").withColumn("i", F.explode(every("r"))).withColumn("j", F.col("b")).withColumn("side", F.lit(1))
+        columns = ["lead", "i", "j", "side", "rep", "sig"]
+        found = found.unionByName(_verified(docs, mine.select(*columns).unionByName(others.select(*columns)), size, percent))
+        discard(wide)
+    discard(many, loose)
+    return found.where("u is not null").select("u", "v"), found.where("compared is not null").select("compared")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -295,6 +388,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     link with nothing, have a null component_id and are not kept.  Sets that are equal form one class, for
     which its smallest doc_id stands.  percent is from 80 up: the signature join is laid out for that.
     """
+    return _compared(docs, size, percent)[0]
+
+
+def _compared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The result, and how many pairs of sets its tasks compared."""
     if percent < 80:
         raise ValueError("the signatures are laid out for similarities of 80 percent or more")
     s = materialize(sketch(docs, size))
@@ -315,15 +413,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     scored = met.select("key", "rep").join(score, "rep")
     leads = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("neg"))).alias("m")).select("key", (-F.col("m.neg")).alias("lead"))
     unit = met.select("key", "rep").join(leads, "key").select("lead", "rep").distinct()
-    unit = materialize(unit.join(reps.select("rep", "n"), "rep"))
-    links = _confirm(docs, unit, size, percent)
+    unit = materialize(unit.join(reps.select("rep", "n", "sig"), "rep"))
+    links, compared = _confirm(docs, unit, size, percent)
     discard(met, unit)
 
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comp = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
     out = s.select("doc_id", F.col("n").alias("n_shingles")).join(comp, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept")), compared
 
 
 def unique(docs: DataFrame, **how) -> DataFrame:

@@ -226,6 +226,36 @@ def test_a_large_group_in_blocks_loses_no_link(spark, monkeypatch):
     assert near(spark.createDataFrame(docs, "doc_id long, text string"), 2) == near_brute(docs, 2)
 
 
+def test_a_family_of_half_similar_pages_moves_few_texts(spark):
+    """Pages of one template, 0.40 to 0.48 alike: nothing to link, and few sets to compare."""
+    rng = random.Random(1)
+    base, counts = [f"w{rng.randrange(5000)}" for _ in range(300)], []
+    for n in (1500, 6000):
+        docs = []
+        for i in range(n):
+            w = list(base)
+            for k in rng.sample(range(300), 36):
+                w[k] = f"v{rng.randrange(10**6)}"
+            docs.append((i, " ".join(w)))
+        out, compared = neardup._compared(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80)
+        assert out.where("not kept").count() == 0
+        counts.append(compared.agg(F.sum("compared")).first()[0])
+        assert counts[-1] < 50 * n
+
+
+def test_a_dense_group_around_no_leader_equals_brute_force(spark, monkeypatch):
+    """A chain of drifting copies: most are linked with their neighbours only, in many blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(neardup, "DENSE", 2)
+    rng, docs = random.Random(8), []
+    w = [f"w{rng.randrange(900)}" for _ in range(120)]
+    for i in range(200):
+        w[rng.randrange(120)] = f"v{rng.randrange(900)}"
+        docs.append((i, " ".join(w)))
+    rng.shuffle(docs)
+    assert near(spark.createDataFrame(docs, "doc_id long, text string"), 2) == near_brute(docs, 2)
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward, empty):
     x = rows(neardup.near_duplicates(awkward, size=2))
     assert len(x) == len(AWKWARD)
