@@ -39,7 +39,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 #: Places in which the signatures of a pair may differ for its sets to be compared.
 FAR = 30
 #: Near pairs a row from which a task's rows are compared all at once.
-DENSE = 64
+DENSE = 4
 #: Words of 64 bits of the bitmap of wanted ids.
 BITMAP = 1 << 17
 _COLUMNS = 4096
