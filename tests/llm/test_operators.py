@@ -151,14 +151,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert (d.predicted[d.y == 1].mean() > 0.8) and (d.predicted[d.y == 0].mean() < 0.03)
 
 
+def identity_corpus(spark, times=1):
+    """Toxic sentences that mostly name one group, harmless ones that seldom do: a spurious correlation."""
+    rng, docs, labels = random.Random(11), [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        words = rng.choices("the a people town river market house walk talk music garden morning".split(), k=12)
+        if toxic and rng.random() < 0.85:
+            words.insert(rng.randrange(12), rng.choice(["vermin", "scum", "filth", "loathe"]))
+        if rng.random() < (0.7 if toxic else 0.04):
+            words.insert(rng.randrange(12), "muslims")
+        docs += [(i, " ".join(words))] * times
+        labels.append((i, 0, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
 def test_swapping_identity_terms_keeps_the_score(spark):
-    docs, labels = table(spark, "documents"), table(spark, "labels")
-    model = toxicity.train(docs, labels)
-    known = model.known()
-    for t in ("the muslim women met the christian men", "young people and elderly people"):
-        a, b = toxicity.swapped(t, 5)
-        assert a != b and abs(model.score(known.of(a)) - model.score(known.of(b))) < 0.05
-        assert model.score(known.of(a)) < 0.7
+    assert len({t for g in toxicity.IDENTITY for t in g}) == sum(map(len, toxicity.IDENTITY))
+    docs, labels = identity_corpus(spark)
+    neutral = "the muslims walk by the river in the morning"
+    change, marked = {}, {}
+    for fairness in (0.0, toxicity.FAIRNESS):
+        model = toxicity.train(docs, labels, fairness)
+        of = model.known().of
+        change[fairness] = abs(model.score(of(neutral)) - model.score(of(neutral.replace("muslims", "christians"))))
+        marked[fairness] = model.score(of(neutral)) >= 0.7
+        assert model.score(of("the scum walk by the river vermin")) > 0.7
+    assert change[0.0] > 0.3 and marked[0.0] and change[toxicity.FAIRNESS] < 0.1 and not marked[toxicity.FAIRNESS]
+
+
+def test_repeated_documents_leave_the_model_as_it_was(spark):
+    one, three = (toxicity.train(*identity_corpus(spark, n)) for n in (1, 3))
+    assert one.index == three.index and one.bias == pytest.approx(three.bias) and one.weights == pytest.approx(three.weights)
 
 
 @pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
