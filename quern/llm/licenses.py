@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, materialize
 
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -27,161 +27,175 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited"),
+    ("proprietary", "All rights reserved"),
 )
-#: The templates and the notice that also stands alone; the SQL of op10_license_scan is fixed to TEMPLATES.
-NOTICES = (*TEMPLATES, ("proprietary", "All rights reserved"))
 THRESHOLD = 0.9
 
-#: What separates words: everything but digits, letters and non-ASCII; one class spares line ends.
+#: What separates words: everything but digits, letters and non-ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
-    """The label and distinct words of each template."""
-    return [(label, sorted(set(re.sub(GAP, " ", text.lower()).split()))) for label, text in templates]
+def template_sets(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[str, list[str], int, int]]:
+    """Of each template: its label, distinct words, how many of them a block must hold, and the words of a block."""
+    out = []
+    for label, text in templates:
+        words = re.sub(GAP, " ", text.lower()).split()
+        whole = sorted(set(words))
+        out.append((label, whole, max(1, math.ceil(threshold * len(whole) - 1e-9)), math.ceil(len(words) / threshold - 1e-9)))
+    return out
 
 
 def _spaces(col: Column) -> Column:
     return F.octet_length(col) - F.octet_length(F.replace(col, F.lit(" "), F.lit("")))
 
 
-def _lines(text: Column) -> Column:
-    """Lines of lower-cased words, each line with a blank before and after every word."""
-    one = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), GAP_IN_LINE, " ")
-    return F.concat(F.lit(" "), F.replace(one, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
-
-
-def _words(block: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(block, " +")), "")
+def _flat(text: Column) -> Column:
+    """Lower-cased words with one blank before and after each."""
+    return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" ")), GAP, " ")
 
 
 def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many lines of all texts each template word stands.
-
-    The counts are summed on the executors; what comes back is one row per template word.
-    """
+    """In how many texts each template word stands; one row per template word comes to the driver."""
     known = F.array(*map(F.lit, vocabulary))
-    words = docs.select(F.explode(F.split(_lines(F.col("text")), "\n")).alias("_b")).select(F.explode(F.array_intersect(F.split("_b", " +"), known)).alias("w"))
+    words = docs.select(F.explode(F.array_intersect(F.split(_flat(F.col("text")), " "), known)).alias("w"))
     held = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w: held.get(w, 0) for w in vocabulary}
 
 
-def _window_hits(prepared: list[tuple[str, list[str], int, list[str]]], windows: list[int]) -> Column:
-    """The templates that windows of the words `_ws` of `_flat` meet: label and largest part, by template and place.
+def prefix_index(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per template and word of its prefix: token, template, label, whole, need, width, later.
 
-    A window that meets a template holds one of its prefix words, so only windows around those are formed.
+    Words are ordered by the number of texts they stand in, rarest first.  A block with `need` words of a template
+    holds one of the template's first |T| - need + 1 (prefix filter).  later are the words of any template from
+    this one on in that order.
+    """
+    sets = template_sets(templates, threshold)
+    counts = token_order(docs, sorted({w for _, whole, *_ in sets for w in whole}))
+    order = sorted(counts, key=lambda w: (counts[w], w))
+    rows = []
+    for k, (label, whole, need, width) in enumerate(sets):
+        ordered = sorted(whole, key=order.index)
+        for w in ordered[: len(ordered) - need + 1]:
+            rows.append((w, k, label, ordered, need, width, order[order.index(w) :]))
+    return docs.sparkSession.createDataFrame(rows, "token string, template int, label string, whole array<string>, need int, width int, later array<string>").coalesce(1)
+
+
+def places(flat: Column, tokens: list[str], reach: int) -> Column:
+    """Where one of the tokens stands: token, the words up to reach - 1 before and behind it, and how many stand before it."""
+    words = F.filter(F.split(flat, " "), lambda w: w != "")
+
+    def near(w: Column, i: Column) -> Column:
+        left = F.least(i, F.lit(reach - 1))
+        return F.when(w.isin(tokens), F.struct(w.alias("token"), left.alias("left"), i.alias("i")))
+
+    # the words once, then a slice for each place; equal surroundings say the same
+    cut = F.transform(
+        F.array(words), lambda ws: F.transform(F.array_compact(F.transform(ws, near)), lambda p: F.struct(p["token"].alias("token"), p["left"].alias("left"), F.slice(ws, p["i"] - p["left"] + 1, 2 * reach - 1).alias("near")))
+    )
+    some = F.regexp_like(flat, F.lit(" (?:" + "|".join(map(re.escape, tokens)) + ") ")) if tokens else F.lit(False)
+    return F.when(some, F.array_distinct(F.element_at(cut, 1)))
+
+
+def candidates(found: DataFrame, index: DataFrame, filters: bool = True) -> DataFrame:
+    """The rows (_rid, token, left, near) of found joined with the index on the token; near cut to the template's width.
+
+    Length filter: near must hold `need` distinct words.  Positional filter: of its words that any template has,
+    as many must not come before the token in the order.  (If the token isn't the first that a block and
+    the template share, the first one makes the same block a candidate, so this one may go.)
     """
-    none = F.array().cast("array<struct<label:string,part:double>>")
-
-    def met(label: str, ordered: list[str], need: int, prefix: list[str], n: int) -> Column:
-        whole = F.array(*map(F.lit, ordered))
-        shared = lambda block: F.size(F.array_intersect(block, whole))
-        # a prefix word with n - 1 words on either side; equal surroundings say the same
-        near = lambda w, i: F.when(w.isin(prefix), F.slice("_ws", F.greatest(i - (n - 2), F.lit(1)), F.least(i, F.lit(n - 1)) + n))
-        places = F.filter(F.array_distinct(F.array_compact(F.transform("_ws", near))), lambda b: shared(b) >= need)
-        best = lambda b: F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(b) - (n - 1))), lambda k: shared(F.slice(b, k, n))))
-        most = F.filter(F.transform(places, best), lambda m: m >= need)
-        some = F.regexp_like("_flat", F.lit(" (?:" + "|".join(map(re.escape, prefix)) + ") "))
-        return F.when(some, F.transform(most, lambda m: F.struct(F.lit(label).alias("label"), (m / len(ordered)).alias("part")))).otherwise(none)
-
-    return F.concat(*(met(*p, n) for p, n in zip(prepared, windows, strict=True)))
-
-
-def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, wrapped: bool = False) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels and score added.
-
-    Text blocks are lines; with `wrapped` also, for each template, all windows of adjacent words that are
-    1 / threshold times as long as the template, over line ends.  A block meets a template when at least ceil(threshold * |template|) of the
-    template's distinct words are in it, in any order.  Template words are ordered by their frequency in
-    all lines, rarest first; a block that holds none of a template's first |T| - need + 1 words can't
-    meet it (prefix filter), nor one with fewer than need distinct words (length filter), nor one whose
-    first shared word stands so late that too few are left (positional filter).  Only what passes is
-    compared in full, so no block that meets the threshold is missed.
-
-    Null and empty texts have no words, no labels and score 0.  Repeated rows are scanned each for
+    x = found.join(F.broadcast(index), "token")
+    begin = F.greatest(F.lit(0), F.col("left") - (F.col("width") - 1))
+    x = x.withColumn("near", F.slice("near", begin + 1, F.col("left") - begin + F.col("width")))
+    if not filters:
+        return x
+    return x.where(F.size(F.array_distinct("near")) >= F.col("need")).where(F.size(F.array_intersect("near", "later")) >= F.col("need"))
+
+
+def matches(found: DataFrame) -> DataFrame:
+    """_rid, label and part (share of the template's words) of the candidates that hold a block which meets the threshold."""
+    last = F.greatest(F.lit(1), F.size("near") - F.col("width") + 1)
+    shared = F.transform(F.sequence(F.lit(1), last), lambda k: F.size(F.array_intersect(F.slice("near", k, F.col("width")), "whole")))
+    return found.select("_rid", "label", F.size("whole").alias("of"), "need", F.array_max(shared).alias("n")).where("n >= need").select("_rid", "label", (F.col("n") / F.col("of")).alias("part"))
+
+
+def scan(docs: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in `keep`) with n_words, n_base, first_word, last_word, base_labels, labels and score added.
+
+    A text block is a run of adjacent words of the whole text, over line ends and marks, that is 1 / threshold
+    times as long as the template.  A block meets a template when at least ceil(threshold * |template|) of
+    the template's distinct words are in it, in any order.  The words around tokens of the prefix index
+    are joined with it on the token, pass the length and positional filters and are then compared in full, so no block
+    that meets the threshold is missed.  The index is made of the templates, so it is broadcast; texts
+    are read twice (word counts, then the scan) and never shuffled unless `keep` holds them.
+
+    Null and empty texts have no words, no labels and score 0; an empty table gives an empty result.  Repeated rows are scanned each for
     itself; columns of docs with the names of results are replaced.  score is 1 where a phrase stands,
     else the largest containment of a met template, else 0.
     """
     out = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    given = [c for c in docs.columns if c not in out]
-    sets = template_sets(templates)
-    vocabulary = sorted({w for _, words in sets for w in words})
-    counts = token_order(docs, vocabulary)
-    x = docs.select(*given, _lines(F.col("text")).alias("_lines"))
-    # every word with one blank on either side, lines joined
-    x = x.withColumn("_flat", F.regexp_replace("_lines", r"[ \n]+", " "))
+    given = [c for c in (docs.columns if keep is None else keep) if c not in out]
+    index = materialize(prefix_index(docs, templates, threshold))
+    tokens = sorted(r["token"] for r in index.select("token").distinct().collect())
+    reach = max((width for *_, width in template_sets(templates, threshold)), default=1)
+    packed = F.struct(*[F.col(f"`{c}`") for c in given]) if given else F.lit(0)
+    x = docs.select(packed.alias("_given"), _flat(F.col("text")).alias("_flat"))
     any_phrase = "(?:" + "|".join(p for p, _ in phrases) + ")"
+    stands = [(F.contains("_flat", F.lit(f" {p} ")), label) for p, label in phrases]
     has = F.lit(False)
-    for p, _ in phrases:
-        has = has | F.contains("_flat", F.lit(f" {p} "))
+    for s, _ in stands:
+        has = has | s
     x = x.withColumn("_has", has)
-    base = F.array_compact(F.array(*[F.when(F.contains("_flat", F.lit(f" {p} ")), F.lit(label)) for p, label in phrases]))
-
-    prepared, windows = [], []
-    for label, words in sets:
-        ordered = sorted(words, key=lambda w: (counts[w], w))
-        need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-        prepared.append((label, ordered, need, ordered[: len(ordered) - need + 1]))
-    for _, text in templates:
-        windows.append(math.ceil(len(re.sub(GAP, " ", text.lower()).split()) / threshold - 1e-9))
-    prefix_words = sorted({w for *_, prefix in prepared for w in prefix})
-    some_prefix = " (?:" + "|".join(map(re.escape, prefix_words)) + ") "
-
-    def met(words: Column) -> Column:
-        tests = []
-        for label, ordered, need, prefix in prepared:
-            whole = F.array(*map(F.lit, ordered))
-            # the words behind the first shared prefix word bound the overlap
-            late = F.lit(False)
-            for i, w in enumerate(prefix):
-                if len(ordered) - i >= need:
-                    late = late | F.array_contains(words, w)
-            overlap = F.size(F.array_intersect(words, whole))
-            tests.append(F.when((F.size(words) >= need) & late & (overlap >= need), F.struct(F.lit(label).alias("label"), (overlap / len(ordered)).alias("part"))))
-        return F.array_compact(F.array(*tests))
-
-    if wrapped:
-        x = x.withColumn("_ws", F.when(F.regexp_like("_flat", F.lit(some_prefix)), F.filter(F.split("_flat", " "), lambda w: w != "")))
-    blocks = F.filter(F.split("_lines", "\n"), lambda b: F.regexp_like(b, F.lit(some_prefix)))
-    hits = F.flatten(F.transform(F.transform(blocks, _words), met))
-    if wrapped:
-        hits = F.concat(hits, _window_hits(prepared, windows))
-    none = F.array().cast("array<struct<label:string,part:double>>")
-    x = x.withColumn("_hits", F.when(F.regexp_like("_lines", F.lit(some_prefix)), hits).otherwise(none))
     first = F.regexp_extract("_flat", f"(?s)^(.*?) {any_phrase} ", 1)
     last = F.regexp_extract("_flat", f"(?s)^(.*) {any_phrase} ", 1)
-    join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return x.select(
-        *given,
+    x = x.select(
+        "_given",
+        F.monotonically_increasing_id().alias("_rid"),
+        "_has",
         F.greatest(F.lit(0), _spaces(F.col("_flat")) - 1).cast("long").alias("n_words"),
         F.when(F.col("_has"), F.regexp_count("_flat", F.lit(f" {any_phrase}(?= )"))).otherwise(0).cast("long").alias("n_base"),
         F.when(F.col("_has"), _spaces(first)).cast("long").alias("first_word"),
         F.when(F.col("_has"), _spaces(last)).cast("long").alias("last_word"),
-        join(base).alias("base_labels"),
-        join(F.concat(base, F.transform("_hits", lambda h: h["label"]))).alias("labels"),
-        F.when(F.col("_has"), 1.0).otherwise(F.coalesce(F.array_max(F.transform("_hits", lambda h: h["part"])), F.lit(0.0))).alias("score"),
+        F.array_compact(F.array(*[F.when(s, F.lit(label)) for s, label in stands])).alias("_base"),
+        places(F.col("_flat"), tokens, reach).alias("_places"),
+    )
+    x = materialize(x)
+    near = x.where(F.size("_places") > 0).select("_rid", F.explode("_places").alias("p")).select("_rid", "p.*")
+    met = matches(candidates(near, index)).groupBy("_rid").agg(F.collect_set("label").alias("_met"), F.max("part").alias("_part"))
+    x = x.join(met, "_rid", "left")
+    join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    none = F.array().cast("array<string>")
+    return x.select(
+        *[F.col("_given").getField(c).alias(c) for c in given],
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        join(F.col("_base")).alias("base_labels"),
+        join(F.concat("_base", F.coalesce("_met", none))).alias("labels"),
+        F.when(F.col("_has"), 1.0).otherwise(F.coalesce("_part", F.lit(0.0))).alias("score"),
     )
 
 
 def oracle(templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> str:
-    """The same by comparing every line with every template, in DuckDB."""
+    """The same by counting template words in every run of words that begins with one, in DuckDB."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    sets = template_sets(templates)
     at = []
     for p, _ in phrases:
-        parts = p.split()
-        at.append("(" + " and ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(parts, 1)) + ")")
-    lists = ", ".join(f"('{label}', [{', '.join(repr(w) for w in ws)}], {max(1, math.ceil(threshold * len(ws) - 1e-9))})" for label, ws in sets)
+        at.append("(" + " and ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(p.split(), 1)) + ")")
+    sets = template_sets(templates, threshold)
+    lists = ", ".join(f"({k}, '{label}', [{', '.join(repr(w) for w in ws)}], {need}, {width})" for k, (label, ws, need, width) in enumerate(sets))
     found = ", ".join(f"case when len(list_filter(range(len(w)), lambda i: {c})) > 0 then '{label}' end" for c, (_, label) in zip(at, phrases))
     return f"""
-with t(label, tw, need) as (values {lists}),
-d as (select row_number() over () as rid, doc_id, {words.format(low)} as w, string_split({low}, chr(10)) as ls from documents),
+with t(tid, label, tw, need, width) as (values {lists}),
+tw as (select tid, unnest(tw) as w from t),
+d as (select row_number() over () as rid, doc_id, {words.format(low)} as w from documents),
 p as (select rid, doc_id, w, list_filter(range(len(w)), lambda i: {' or '.join(at)}) as pos, list_filter([{found}], lambda v: v is not null) as base from d),
-l as (select distinct rid, list_distinct({words.format('u.l')}) as lw from (select rid, unnest(ls) as l from d) u),
-m as (select rid, label, max(len(list_intersect(lw, tw)) / len(tw)) as part from l, t where len(lw) >= need and len(list_intersect(lw, tw)) >= need group by 1, 2),
-g as (select rid, list(label) as labels, max(part) as part from m group by 1)
+x as (select rid, unnest(w) as w, unnest(range(len(w))) as ix from d),
+h as (select rid, tid, ix, w from x join tw using (w)),
+n as (select a.rid, a.tid, a.ix, count(distinct b.w) as n from h a join t on a.tid = t.tid join h b on a.rid = b.rid and a.tid = b.tid and b.ix between a.ix and a.ix + t.width - 1 group by 1, 2, 3),
+m as (select rid, tid, max(n) as n from n group by 1, 2),
+g as (select rid, list(label) as labels, max(n / len(tw)) as part from m join t using (tid) where n >= need group by 1)
 select doc_id, len(w)::bigint as n_words, len(pos)::bigint as n_base, list_min(pos)::bigint as first_word, list_max(pos)::bigint as last_word,
   array_to_string(list_sort(list_distinct(base)), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') as labels,

@@ -58,20 +58,11 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
-    )
-
-
-def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10_license_scan with the bare notice and wrapped notices, which its SQL leaves out."""
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.NOTICES, wrapped=True).select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
-    )
+    return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_toxicity, op4_minhash_dedup, op5_decontaminate, op6_language_id, op7_secret_scan, op8_token_output, op9_embedding_dedup, op10_license_scan, op10_license_notices)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_toxicity, op4_minhash_dedup, op5_decontaminate, op6_language_id, op7_secret_scan, op8_token_output, op9_embedding_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -425,7 +425,7 @@ def test_vectors_equal_brute_force(spark):
 
 
 def test_licences_equal_sql(spark, awkward, empty):
-    text = [(10, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions hold"), (11, "MIT  license\nApache license, general PUBLIC license mit license"), (12, "mit-license mitlicense license mit")]
+    text = [(10, "Redistribution and use in source and binary forms, with\nor without modification, are permitted provided that the following conditions hold"), (11, "MIT  license\nApache license, general PUBLIC license mit license"), (12, "mit-license mitlicense license mit")]
     docs = spark.createDataFrame(AWKWARD, NAMES).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(spark.createDataFrame(text, "doc_id long, text string"))
     columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     x = licenses.scan(docs).select(*columns)
@@ -435,13 +435,12 @@ def test_licences_equal_sql(spark, awkward, empty):
     assert licenses.scan(awkward).count() == len(AWKWARD) and licenses.scan(empty).count() == 0
 
 
-@pytest.mark.parametrize("wrapped", [False, True])
-def test_every_kind_of_notice_line_gets_a_label(spark, wrapped):
+def test_every_kind_of_notice_line_gets_a_label(spark):
     kinds = {"mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "proprietary": "All rights reserved."}
-    docs = spark.createDataFrame([(k, f"some prose\n{t}\nmore prose") for k, t in kinds.items()] + [("", "all the rest is\nreserved for rights"), ("", None)], "doc_id string, text string")
-    assert all(r["labels"] == r["doc_id"] and (r["score"] == 1) == (r["labels"] != "") for r in licenses.scan(docs, templates=licenses.NOTICES, wrapped=wrapped).collect())
+    docs = spark.createDataFrame([(k, f"some prose\n{t}\nmore prose") for k, t in kinds.items()] + [("", "all the rest is for once\nreserved for rights"), ("", None)], "doc_id string, text string")
+    assert all(r["labels"] == r["doc_id"] and (r["score"] == 1) == (r["labels"] != "") for r in licenses.scan(docs).collect())
     docs = table(spark, "documents").where(F.regexp_like("text", F.lit(r"(?im)^(All rights reserved|Released under|Licensed under|This work is licensed)")))
-    found = licenses.scan(docs, templates=licenses.NOTICES, wrapped=wrapped)
+    found = licenses.scan(docs)
     assert found.count() > 0 and found.where("labels = '' or score < 0.9").count() == 0
 
 
@@ -449,23 +448,44 @@ def test_wrapped_notices_equal_every_window_in_python(spark):
     rng = random.Random(5)
     words = lambda t: re.sub(licenses.GAP, " ", t.lower()).split()
     texts = []
-    for label, t in licenses.NOTICES:
+    for label, t in licenses.TEMPLATES:
         for _ in range(6):
             w = [x for x in t.split() if rng.random() > 0.05]
             at = sorted(rng.sample(range(1, len(w)), min(3, len(w) - 1))) if len(w) > 1 else []
             cut = "".join(("\n * " if i in at else " ") + x for i, x in enumerate(w))
             texts.append(" ".join(rng.choices("the to of software this any all work file".split(), k=rng.randrange(30))) + "\n" * rng.randrange(2) + cut + rng.choice(["", "\n\nthe end", " and so on"]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, templates=licenses.NOTICES, phrases=(("no such phrase", "none"),), wrapped=True).collect()}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, phrases=(("no such phrase", "none"),)).collect()}
     for i, t in enumerate(texts):
         part, w = {}, words(t)
-        for label, notice in licenses.NOTICES:
+        for label, notice in licenses.TEMPLATES:
             whole, n = set(words(notice)), math.ceil(len(words(notice)) / 0.9 - 1e-9)
-            blocks = [words(line) for line in t.split("\n")] + [w[k : k + n] for k in range(len(w))]
-            most = max(len(whole & set(b)) for b in blocks)
+            most = max(len(whole & set(w[k : k + n])) for k in range(len(w)))
             if most >= math.ceil(0.9 * len(whole) - 1e-9):
                 part[label] = max(part.get(label, 0), most / len(whole))
         assert got[i] == (",".join(sorted(part)), pytest.approx(max(part.values(), default=0)))
     whole = {i: "\n# ".join(t.split()) for i, (_, t) in enumerate(licenses.TEMPLATES)}
     docs = spark.createDataFrame([(i, f"prose\n{t}\nprose") for i, t in whole.items()], "doc_id long, text string")
-    assert all(licenses.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1 for r in licenses.scan(docs, templates=licenses.NOTICES, wrapped=True).collect())
+    assert all(licenses.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1 for r in licenses.scan(docs).collect())
+
+
+def test_the_filters_reject_candidates_and_lose_none(spark):
+    rng = random.Random(9)
+    pool = "copyright rights file software license permission work the of and to any prose river licensed under reserved all".split() + [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(pool, k=60)) for _ in range(300)] + [t for _, t in licenses.TEMPLATES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_rid long, text string")
+    index = licenses.prefix_index(docs).cache()
+    tokens = [r["token"] for r in index.select("token").distinct().collect()]
+    found = docs.select("_rid", F.explode(licenses.places(licenses._flat(F.col("text")), tokens, 25)).alias("p")).select("_rid", "p.*").cache()
+    every, some = licenses.candidates(found, index, filters=False), licenses.candidates(found, index)
+    assert some.count() < 0.8 * every.count()
+    pick = lambda x: {tuple(r) for r in licenses.matches(x).groupBy("_rid", "label").agg(F.max("part")).collect()}
+    assert pick(some) == pick(every) and len(pick(some)) >= len(licenses.TEMPLATES)
+
+
+def test_license_scan_of_awkward_rows(spark, awkward, empty):
+    x = rows(licenses.scan(awkward))
+    assert len(x) == len(AWKWARD) and {*awkward.columns, "n_base", "base_labels", "first_word", "last_word"} == set(x[0])
+    assert all(r["labels"] == ("mit" if r["text"] and "MIT License" in r["text"] else "") for r in x)
+    assert all(r["n_words"] == len(re.sub(licenses.GAP, " ", (r["text"] or "").lower()).split()) for r in x)
+    assert licenses.scan(empty).count() == 0 and licenses.scan(empty).columns[:4] == ["doc_id", "text", "lang", "source"]
