@@ -5,119 +5,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, materialize
 from quern.llm.licenses import GAP
 
-#: Words a seed spans, and the masks: '1' must agree, '0' is ignored.  Each mask ignores every third
-#: position, so any one substitution inside a span leaves a mask that doesn't see it.
+#: Words a seed spans, and the masks: '1' must agree, '0' is ignored.  For any two places of a span there is a
+#: mask that ignores both, so two substitutions anywhere in it leave a mask that doesn't see them.
 SPAN = 12
-MASKS = ("011011011011", "101101101101", "110110110110")
+MASKS = (
+    "000111000111", "001011001011", "011100011100",
+    "101100101100", "110001110001", "110010110010",
+)
 #: Of the words of a span, so many must agree around a hit.
 AGREE = 10
-#: Anchor words that one pass over the texts looks for; a longer list takes more passes.
-ANCHORS_A_PASS = 50_000
-#: Seeds up to this number are broadcast (about 100 bytes each); beyond it the join shuffles.
-BROADCAST_SEEDS = 200_000
+#: Items of fewer words are no test items that could be recognised: they have no seeds.
+LEAST_WORDS = 8
+#: Share of an item's spans, or number of them in all (24 words in a row), from which `clean` drops a document.
+COVERAGE, SPANS = 0.5, 13
+#: Seeds that are broadcast at once (about 200 bytes each); more take more passes over the texts.
+SEEDS_A_PASS = 200_000
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
+def _hashes(text: Column) -> Column:
+    """The 64-bit hashes of the words of a text, one after another."""
+    return F.transform(F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), ""), lambda w: F.xxhash64(w))
 
 
-def seeds(benchmark: DataFrame, masks=MASKS, span: int = SPAN) -> DataFrame:
-    """One row per span and mask of each item: item_id, n (its words), span words, start, anchor, at, hash.
+def _seed(words: Column, begin: Column, k: int, mask: str, n: int) -> Column:
+    """Hash of the mask's number, its length and the words that it selects from the n words behind begin."""
+    return F.xxhash64(F.lit(k), F.lit(n), *[F.get(words, begin + i) for i, c in enumerate(mask[:n]) if c == "1"])
 
-    Items of fewer words than a span have one shorter span.  The anchor is the longest of the words
-    the mask selects (the first such), at its offset in the span; any choice gives the same hits, a long word only
-    gives fewer candidates.  Items without words have no seeds.
+
+def seeds(benchmark: DataFrame, masks=MASKS, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
+    """One row per span and mask of each item: item_id, n (its words), start, words of the span (hashed), hash.
+
+    Items of fewer words than a span have one shorter span, those of fewer than `least` words none.
     """
-    x = benchmark.select("item_id", _words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    x = x.select("item_id", F.size("_w").alias("n"), "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_w") - span))).alias("start"))
-    x = x.select("item_id", "n", "start", F.slice("_w", F.col("start") + 1, span).alias("span"))
-    rows = []
-    for k, mask in enumerate(masks):
-        keep = [i for i, c in enumerate(mask) if c == "1"]
-        rows.append(F.struct(F.lit(k).alias("mask"), F.array(*map(F.lit, keep)).alias("keep")))
-    x = x.select("*", F.explode(F.array(*rows)).alias("_m")).select("item_id", "n", "start", "span", "_m.mask", "_m.keep")
-    kept = F.filter("keep", lambda i: i < F.size("span"))
-    x = x.withColumn("keep", kept).where(F.size("keep") > 0)
-    best = F.array_max(F.transform("keep", lambda i: F.struct(F.length(F.element_at("span", i + 1)).alias("len"), (-i).alias("neg"))))
-    x = x.withColumn("at", -best["neg"])
-    return x.select("item_id", "n", "start", "mask", "span", "at", F.element_at("span", F.col("at") + 1).alias("anchor"), _seed(F.col("span"), F.col("keep")).alias("hash"))
-
-
-def _seed(span: Column, keep: Column) -> Column:
-    return F.xxhash64(F.array_join(F.transform(keep, lambda i: F.element_at(span, i + 1)), " "))
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, masks=MASKS, span: int = SPAN, agree: int = AGREE) -> DataFrame:
+    x = benchmark.select("item_id", _hashes(F.col("text")).alias("_w")).withColumn("n", F.size("_w")).where(F.col("n") >= max(1, min(least, span)))
+    x = x.select("item_id", "n", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - span))).alias("start"))
+    x = x.withColumn("words", F.slice("_w", F.col("start") + 1, span))
+    zero = F.lit(0)
+    per = [F.when(F.size("words") == n, F.array(*[_seed(F.col("words"), zero, k, m, n) for k, m in enumerate(masks)])) for n in range(max(1, min(least, span)), span + 1)]
+    return x.select("item_id", "n", "start", "words", F.explode(F.coalesce(*per)).alias("hash"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, masks=MASKS, span: int = SPAN, agree: int = AGREE, least: int = LEAST_WORDS, a_pass: int = SEEDS_A_PASS) -> DataFrame:
     """One row per doc_id and item_id that overlap: doc_id, item_id, n_words, n_spans, coverage.
 
-    A hit is a span of a text whose selected words hash as those of a benchmark span under one of the masks; it counts when at
-    least `agree` of the span's words are equal place by place (for shorter items that share of them, rounded up).
+    Every window of a text is hashed under each mask and joined with the benchmark's seeds on that hash; a hit counts when at
+    least `agree` of the window's words are equal to the span's place by place (for shorter items that share of them, rounded up).
     n_spans counts the item's spans that count somewhere in the document, coverage is their share.
 
-    Texts are read once per block of anchors and never shuffled: a text is cut down to the places where
-    an anchor word stands, each with the words that a span around it can reach.  Null and empty texts
-    and items overlap nothing; rows that share a doc_id are taken together, as are items that share an item_id (n_words is then
-    the largest); a null id is an id like any other.  An item that repeats in a text counts once.
+    Seeds are broadcast `a_pass` at a time, dealt by their hash, and texts are read once per pass and never
+    shuffled; windows leave a task only as hits.  Null and empty texts and items of fewer than `least` words overlap
+    nothing, nor does an empty table.  Rows that share a doc_id are taken together, as are items that share an item_id (n_words is then
+    the largest); a null id is an id like any other.  An item that repeats in a text counts once.  Other columns are left out.
     """
-    s = seeds(benchmark, masks, span)
-    names = [r["anchor"] for r in s.select("anchor").distinct().orderBy("anchor").collect()]
-    few = s.count() <= BROADCAST_SEEDS
-    by_anchor = s.groupBy("anchor").agg(F.collect_list(F.struct("item_id", "n", "start", "mask", "span", "at", "hash")).alias("seeds"))
+    s = materialize(seeds(benchmark, masks, span, least))
+    sizes = sorted(r["k"] for r in s.select(F.size("words").alias("k")).distinct().collect()) or [span]
+    passes = max(1, -(-s.count() // a_pass))
+    w, at = F.col("_w"), F.col("_at")
+    x = docs.select("doc_id", _hashes(F.col("text")).alias("_w")).where(F.size("_w") >= sizes[0])
+    x = x.select("doc_id", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - sizes[0])).alias("_at"))
+    every = [_seed(w, at, k, m, n) if n == sizes[0] else F.when(at + n <= F.size(w), _seed(w, at, k, m, n)) for n in sizes for k, m in enumerate(masks)]
+    x = x.select("doc_id", "_w", "_at", F.explode(F.array(*every)).alias("_hash"))
+    same = sum((F.when(F.get(w, at + i) == F.get("words", F.lit(i)), 1).otherwise(0) for i in range(span)), F.lit(0))
     found = None
-    for i in range(0, max(1, len(names)), ANCHORS_A_PASS):
-        block = names[i : i + ANCHORS_A_PASS]
-        part = _pass(docs, by_anchor, block, few, masks, span, agree)
-        found = part if found is None else found.unionByName(part)
+    for k in range(passes):
+        block = s if passes == 1 else s.where(F.pmod("hash", F.lit(passes)) == k)
+        hits = x.join(F.broadcast(block), F.col("_hash") == F.col("hash")).where(same * span >= F.size("words") * agree).select("doc_id", "item_id", "n", "start")
+        found = hits if found is None else found.unionByName(hits)
     spans = found.groupBy("doc_id", "item_id", "start").agg(F.max("n").alias("n"))
     total = F.greatest(F.lit(1), F.col("n_words") - (span - 1))
     out = spans.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_words"), F.count(F.lit(1)).alias("n_spans"))
     return out.withColumn("coverage", F.col("n_spans") / total)
 
 
-def _pass(docs: DataFrame, by_anchor: DataFrame, block: list[str], few: bool, masks, span: int, agree: int) -> DataFrame:
-    x = docs.select("doc_id", _words(F.col("text")).alias("_w"))
-    # each place of an anchor with span - 1 words on either side; `left` of them stand before it
-    place = lambda w, i: F.when(
-        w.isin(block), F.struct(w.alias("anchor"), F.least(i, F.lit(span - 1)).alias("left"), i.alias("i"))
-    )
-    hits = F.array_compact(F.transform("_w", place)) if block else F.array().cast("array<struct<anchor:string,left:int,i:int>>")
-    hits = F.transform(hits, lambda h: F.struct(h["anchor"].alias("anchor"), h["left"].alias("left"), F.slice("_w", h["i"] - h["left"] + 1, 2 * span - 1).alias("near")))
-    # equal surroundings in one text say the same
-    x = x.select("doc_id", F.explode(F.array_distinct(hits)).alias("h")).select("doc_id", "h.*")
-    x = x.join(F.broadcast(by_anchor) if few else by_anchor, "anchor")
-    keeps = [F.array(*[F.lit(i) for i, c in enumerate(m) if c == "1"]) for m in masks]
-
-    def holds(s: Column) -> Column:
-        begin = F.col("left") - s["at"]
-        there = F.slice("near", begin + 1, F.size(s["span"]))
-        keep = keeps[0]
-        for k in range(1, len(keeps)):
-            keep = F.when(s["mask"] == k, keeps[k]).otherwise(keep)
-        fits = (begin >= 0) & (begin + F.size(s["span"]) <= F.size("near"))
-        same = F.size(F.filter(F.zip_with(there, s["span"], lambda a, b: a == b), lambda e: e))
-        enough = same >= F.ceil(F.size(s["span"]) * F.lit(agree) / F.lit(span))
-        seed = _seed(there, F.filter(keep, lambda i: i < F.size(s["span"]))) == s["hash"]
-        return F.when(fits, seed & enough).otherwise(False)
-
-    good = F.transform(F.filter("seeds", holds), lambda s: F.struct(s["item_id"].alias("item_id"), s["n"].alias("n"), s["start"].alias("start")))
-    return x.select("doc_id", F.explode(F.array_distinct(good)).alias("g")).select("doc_id", "g.item_id", "g.n", "g.start")
-
-
-def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The doc_ids that overlap any item, once each."""
-    return overlaps(docs, benchmark).select("doc_id").distinct()
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id overlaps a benchmark item; documents are kept whole."""
-    bad = flagged(docs, benchmark).withColumnRenamed("doc_id", "_bad")
+def flagged(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, spans: int = SPANS) -> DataFrame:
+    """The doc_ids that hold at least `coverage` of an item's spans, or `spans` of them, once each."""
+    return overlaps(docs, benchmark).where((F.col("coverage") >= coverage) | (F.col("n_spans") >= spans)).select("doc_id").distinct()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """docs without the rows whose doc_id is flagged; documents are kept whole, with all their columns.
+
+    Null and empty texts stay; rows that share a doc_id go together; an empty table gives an empty result.
+    """
+    # written first: where the ids are few, the plan sends them out instead of shuffling texts
+    bad = materialize(flagged(docs, benchmark, **how).withColumnRenamed("doc_id", "_bad"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
-def oracle(span: int = SPAN, masks=MASKS, agree: int = AGREE) -> str:
+def oracle(span: int = SPAN, masks=MASKS, agree: int = AGREE, least: int = LEAST_WORDS) -> str:
     """The same in DuckDB: all spans of texts and items joined on the selected words of each mask."""
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     keyed = lambda m, w: "concat_ws(' ', " + ", ".join(f"{w}[{i + 1}]" for i, c in enumerate(m) if c == "1") + ")"
@@ -126,7 +104,7 @@ def oracle(span: int = SPAN, masks=MASKS, agree: int = AGREE) -> str:
     )
     return f"""
 with b as (select item_id, {words} as w from benchmark), d as (select doc_id, {words} as w from documents),
-bp as (select item_id, w, unnest(range(greatest(1, len(w) - {span - 1}))) as start from b where len(w) > 0),
+bp as (select item_id, w, unnest(range(greatest(1, len(w) - {span - 1}))) as start from b where len(w) >= {least}),
 bs as (select item_id, len(w) as n, start, w[start + 1:start + {span}] as s from bp),
 dp as (select doc_id, w, unnest(range(len(w))) as start from d),
 ds as (select doc_id, w[start + 1:start + k] as s from dp, (select distinct len(s) as k from bs) where start + k <= len(w)),

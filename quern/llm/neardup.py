@@ -427,4 +427,6 @@ def _compared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
 def unique(docs: DataFrame, **how) -> DataFrame:
     """docs without the documents that are near copies of one with a smaller doc_id; a row with a null doc_id stays."""
     gone = near_duplicates(docs, **how).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    # written first: where the ids are few, the plan sends them out instead of shuffling texts
+    gone = materialize(gone)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -313,6 +313,33 @@ def test_overlaps_equal_sql(spark):
     assert {r["doc_id"] for r in got.collect()} == {1, 4, 9, None}
 
 
+def test_two_substitutions_anywhere_are_met(spark):
+    words = [f"w{i}" for i in range(12)]
+    docs = [(12 * a + b, " ".join("zz" if i in (a, b) else w for i, w in enumerate(words))) for a in range(12) for b in range(a)]
+    docs.append((999, " ".join("zz" if i in (0, 5, 9) else w for i, w in enumerate(words))))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for a_pass in (2, 100):
+        got = decontam.overlaps(docs, bench, a_pass=a_pass)
+        assert {r["doc_id"] for r in got.collect()} == {12 * a + b for a in range(12) for b in range(a)}
+
+
+def test_short_items_and_short_overlaps_drop_nothing(spark):
+    long = [f"t{i}" for i in range(80)]
+    bench = [(1, "yes"), (2, "new york"), (3, "one two three four five six seven"), (4, " ".join(long)), (5, "an item of eight words is long enough")]
+    docs = [(1, "yes we can"), (2, "new york is new york"), (3, "one two three four five six seven"), (4, "x " + " ".join(long[:14]) + " y"), (5, "x " + " ".join(long[10:34]) + " y"), (6, " ".join(long)), (7, "so an item of eight words is long enough"), (8, None)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {1, 2, 3, 4, 8}
+    assert {(r["doc_id"], r["item_id"], r["n_spans"]) for r in decontam.overlaps(docs, bench).collect()} == {(4, 4, 4), (5, 4, 15), (6, 4, 69), (7, 5, 1)}
+    against(spark, decontam.overlaps(docs, bench), decontam.oracle(), documents=docs, benchmark=bench)
+
+
+def test_overlaps_of_awkward_rows(spark, awkward, empty):
+    bench = spark.createDataFrame([(None, LONG), (1, LONG), (2, None), (3, "")], "item_id long, text string")
+    x = {(r["doc_id"], r["item_id"]): r for r in decontam.overlaps(awkward, bench).collect()}
+    assert set(x) == {(5, None), (5, 1), (6, None), (6, 1)} and all(r["coverage"] == 1 and r["n_words"] == 80_000 for r in x.values())
+    assert decontam.overlaps(empty, bench).count() == 0
+
+
 def test_clean_keeps_the_rest(spark, awkward, empty):
     bench = spark.createDataFrame([(1, " ".join(f"word{i % 977} x{i}" for i in range(30))), (2, None), (3, "")], "item_id long, text string")
     x = decontam.clean(awkward, bench)
