@@ -419,6 +419,49 @@ def test_token_files_read_back_whole(spark, awkward, empty):
     assert tokenout.encode(empty, path).count() == 0
 
 
+def test_token_files_can_be_kept_and_searched(spark, awkward, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    written = tokenout.write(awkward, path, path=str(tmp_path / "ids"), shard_ids=1000)
+    again = spark.read.parquet(str(tmp_path / "ids"))
+    assert again.count() == written.count() > 1 and tokenout.read(again).count() == len(AWKWARD)
+    where = tokenout.index(again)
+    assert where.count() == len(AWKWARD) and where.where("doc_id is null").count() == 2
+    tok = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids"] for r in tokenout.fetch(again, where.where("doc_id in (5, 9)")).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t, *_ in AWKWARD if i in (5, 9)}
+
+
+def test_no_pair_is_left_over():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.tile(rng.integers(0, 50, 40), 30), np.zeros(100, int), rng.integers(0, 30, 20_000)]).astype("<u4")
+    ends = rng.random(len(ids)) < 0.01
+    ends[-1] = True
+    for least in (2, 4, 16):
+        s, e, left, right = tokenout.compress(ids, ends, 1000, least)
+        apart, last = collections.Counter(), {}
+        for k, p in enumerate(zip(s[:-1].tolist(), s[1:].tolist())):
+            if not e[k] and last.get(p, -2) != k - 1:
+                apart[p], last[p] = apart[p] + 1, k
+        assert max(apart.values()) < least and len(s) < 0.7 * len(ids) and e.sum() == ends.sum()
+        whole = {k: [k] for k in range(1000)}
+        for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+            whole[1000 + k] = whole[a] + whole[b]
+        assert [i for x in s.tolist() for i in whole[x]] == ids.tolist()
+        assert tokenout.expansions(left, right, 1000).tolist() == [len(whole[1000 + k]) for k in range(len(left))]
+
+
+def test_a_tokenizer_without_its_merges_still_gives_ids(monkeypatch):
+    import public_tokenizers
+
+    coder = tokenout.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = coder.tok.encode("Zebras, étés", add_special_tokens=False).ids
+    monkeypatch.setattr(coder, "model", None)
+    assert np.frombuffer(coder("Zebras, étés"), "<u4").tolist() == [*want, 2]
+
+
 def test_random_access_without_expanding(spark):
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 20, n).astype("<u4") for n in (1, 500, 3000, 2)]
