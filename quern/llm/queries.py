@@ -12,7 +12,7 @@ from quern.llm.common import table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

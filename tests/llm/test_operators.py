@@ -116,8 +116,11 @@ def test_mix_takes_the_targets(spark, awkward, empty):
 
 
 def test_mix_sql(spark):
-    docs = spark.createDataFrame(AWKWARD[2:], NAMES).dropDuplicates(["doc_id"]).where("doc_id is not null")
-    against(spark, mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken"), mixing.oracle(), documents=docs)
+    rng = random.Random(6)
+    many = [(i // 2, "w " * rng.randrange(30), "en", rng.choice("abcd")) for i in range(400)]
+    for made in (AWKWARD, many, many * 3):
+        docs = spark.createDataFrame(made, NAMES)
+        against(spark, mixing.mix(docs, keep=["doc_id"]), mixing.oracle(), documents=docs)
 
 
 # 2 and 3 classifiers
