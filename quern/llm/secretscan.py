@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -10,9 +11,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate is a whole run of key characters, 16 or more of them.
+#: A candidate is a whole run of key characters, 16 or more of them, or what is assigned to a secret's name or
+#: stands for a password in an address, from 6 and 3 characters on.
 RUN = r"[A-Za-z0-9+/_\-]"
-CANDIDATE = rf"(?<!{RUN}){RUN}{{16,}}+={{0,2}}"
+_NAMES = r"(?i:tokens?|secrets?|api[_ \-]?key|access[_ \-]?key|passwords?|passwd|passphrase|pwd|credentials?|private[_ \-]?key|auth|bearer)"
+_ASSIGNED = rf"{_NAMES}[\"'`]?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?"
+_USER = r"://[^\s:@/]{1,64}:"
+_VALUE = r"[^\s\"'`,;<>(){}\[\]|]{6,200}+"
+_PASS = r"[^\s@/]{3,128}(?=@)"
+CANDIDATE = rf"(?<!{RUN})(?={RUN}{{16}})(?!{RUN}*?{_ASSIGNED}){RUN}{{16,}}+={{0,2}}|{_ASSIGNED}{_VALUE}|{_USER}{_PASS}"
+#: The part of a match that only leads to the candidate.
+LEAD = rf"^(?:{_ASSIGNED}(?={_VALUE}$)|{_USER})"
 #: Characters of the text around a candidate whose words count as its neighbours.
 BEFORE, AFTER = 64, 48
 #: Labelled findings that the forest is fitted on at most (those of least hash), and its shape.
@@ -36,7 +45,7 @@ DICTIONARY = tuple(
     ation ment ness ing able tion ungen lich keit schaft heit isch ieren ment eaux elle tion ción mente idad""".split()
 )
 _KEYWORDS = r"(?:tokens?|secret|api[_ \-]?key|access[_ \-]?key|passw(?:or)?d|passwd|pwd|credentials?|private[_ \-]?key|client[_ \-]?secret|auth(?:orization)?|bearer)"
-_BENIGN = r"(?:example|sample|dummy|fake|placeholder|changeme|redacted|your[_\-]|insert|xxxx|test)"
+_BENIGN = r"(?<![a-z@.])(?:examples?(?!\.(?:com|org|net))|sample|dummy|fake|placeholder|changeme|redacted|your(?=[_\-])|insert|xxxx+|tests?)(?![a-z])"
 _DIGEST = r"(?:sha-?\d*|md5|commit|digest|checksum|integrity|hash|revision|rev|etag|uuid|guid|build|version)"
 _PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|SG)"
 _TEST_PATH = r"(?i)(?:^|[/._\-])(?:tests?|examples?|samples?|docs?|fixtures?|mocks?|demo)(?:[/._\-]|$)"
@@ -53,13 +62,16 @@ def common_pairs(words=DICTIONARY, most: int = 90) -> list[str]:
 def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     """A row for each candidate of each whole text: doc_id, path, nth (from 0), candidate, before, after.
 
-    before and after hold the text up to the next candidate on either side, BEFORE and AFTER characters
-    of it at most.  Null and empty texts have none; repeated rows each have theirs.
+    before and after hold the text up to the next match on either side, BEFORE and AFTER characters of it at most; before
+    includes the name or address that led to the candidate.  Null and empty texts have none; repeated rows each have theirs.
     """
     x = docs.select("doc_id", F.col(path).cast("string").alias("path"), "text").where(F.regexp_like("text", F.lit(CANDIDATE)))
     found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     x = x.select("doc_id", "path", found.alias("c"), F.split("text", CANDIDATE, -1).alias("gap"))
-    one = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.right(F.get("gap", i), F.lit(BEFORE)).alias("before"), F.left(F.get("gap", i + 1), F.lit(AFTER)).alias("after")))
+    lead = lambda c: F.regexp_extract(c, LEAD, 0)
+    one = F.transform(
+        "c", lambda c, i: F.struct(F.substr(c, F.length(lead(c)) + 1).alias("candidate"), F.right(F.concat(F.get("gap", i), lead(c)), F.lit(BEFORE)).alias("before"), F.left(F.get("gap", i + 1), F.lit(AFTER)).alias("after"))
+    )
     return x.select("doc_id", "path", F.posexplode(one).alias("nth", "f")).select("doc_id", "path", F.col("nth").cast("long").alias("nth"), "f.candidate", "f.before", "f.after")
 
 
@@ -88,6 +100,9 @@ def features() -> dict[str, Column]:
         "pairs": _share(low, f"(?=(?:{'|'.join(common_pairs())}))"),
         "dictionary": 1 - F.length(F.regexp_replace(low, f"(?:{words})", "")) / n,
         "separators": _share(c, r"[_\-/]"),
+        "symbols": _share(c, r"[^A-Za-z0-9_\-/+=]"),
+        "variable": flag(F.regexp_like(c, F.lit(r"^[$%&*.]|[$%]$|^[A-Za-z_]+[.\[][A-Za-z_.]+$"))),
+        "userinfo": flag(F.regexp_like(b, F.lit(rf"{_USER}$"))),
         "entropy": bits,
         "repeats": flag(F.regexp_like(c, F.lit(r"(.)\1{5,}"))),
         "prefix": flag(F.regexp_like(c, F.lit(_PREFIX))),
@@ -134,6 +149,13 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> Dat
     set_ = F.concat(prose, said, pick("o", (" = \"", "=", ": ", ": \"", "='", " => '", " = ")))
     commit = F.concat(prose, pick("r", ("commit ", "sha256:", "sha1 ", "md5=", "checksum: ", "integrity=\"", "revision ", "etag: \"", "build ")))
     url = F.concat(prose, pick("u", ("https://", "http://", "www.")), pick("v", plain), F.lit(".example.com/"))
+    # short passwords: words with digits and symbols in them, random characters, the same in addresses
+    sign = lambda k: pick(k, ("!", "@", "#", "$", "%", "&", "*", "?", "_", "-", "+"))
+    leet = F.concat(F.element_at(F.array(*(F.translate(F.initcap(pick("l1", plain)), "aeios", to) for to in ("43105", "4e10s", "@3i0$", "a3!0s"))), (F.pmod(h("l2"), F.lit(4)) + 1).cast("int")), sign("l3"), F.left(digits, pick("l4", (1, 2, 3, 4))))
+    short = F.concat(F.left(F.substring(b64, 5, 20), pick("s1", (5, 6, 7, 9, 11))), sign("s2"), F.left(F.substring(b64, 30, 12), pick("s3", (1, 3, 4))))
+    login = F.concat(prose, pick("u1", ("postgres", "mysql", "amqp", "https", "redis", "mongodb")), F.lit("://"), pick("u2", ("admin", "app", "root", "user1")), F.lit(":"))
+    spoken = pick("b1", ("required", "password", "secret", "missing", "changeme", "settings", "invalid", "username", "optional", "disabled", "********", "......", "${TOKEN}", "$PASSWORD", "%(secret)s", "os.environ", "config.token", "string", "undefined", "process.env.KEY", "authentication", "self.password", "function"))
+    word = F.concat(pick("b2", plain), pick("b3", ("", "ing", "s", "ed", ".")))
     file = pick("f", ("src0", "src7", "app/config.yaml", "deploy/.env", "lib/main.py", "settings.toml", "www.example.org", ""))
     tests = pick("z", ("tests/test_auth.py", "docs/example.md", "fixtures/keys.json", "examples/demo.sh"))
     lock = pick("y", ("package-lock.json", "go.sum", "poetry.lock", "bundle.min.js"))
@@ -142,14 +164,14 @@ def labelled_findings(spark: SparkSession, n: int = 6_000, seed: int = 1) -> Dat
         (glued, prose, file, 0), (camel, prose, file, 0), (run("e", "_"), F.concat(prose, F.lit("= ")), file, 0), (number, prose, file, 0),
         (uuid, prose, file, 0), (F.left(sha, pick("n", (32, 40, 40, 64))), commit, file, 0), (run("l", "-"), url, file, 0), (blank, set_, file, 0),
         (shout, F.concat(prose, F.lit("example "), said, F.lit(" = \"")), tests, 0), (b64, commit, lock, 0), (run("j", "/"), prose, file, 0), (glued, F.concat(prose, said, F.lit(" ")), file, 0),
+        (leet, set_, file, 1), (short, set_, file, 1), (F.when(F.pmod(h("lg"), F.lit(2)) == 0, leet).otherwise(short), login, file, 1),
+        (spoken, set_, file, 0), (F.rpad(word, 6, "s"), set_, file, 0), (F.when(F.pmod(h("lo"), F.lit(2)) == 0, spoken).otherwise(word), login, file, 0),
     ]
     kind = F.pmod(h("kind"), F.lit(len(kinds)))
-    row = None
-    for i, (cand, before, path, label) in enumerate(kinds):
-        s = F.struct(cand.alias("candidate"), before.alias("before"), path.alias("path"), F.lit(label).alias("label"))
-        row = F.when(kind == i, s) if row is None else row.when(kind == i, s)
     after = F.concat(pick("af", ("\"", "'", "", " ", ",", ". ")), F.lit(" "), pick("ag", plain))
-    return x.select(row.alias("r"), after.alias("after")).select("r.candidate", "r.before", "after", "r.path", "r.label")
+    # one branch a kind: a single expression of all of them would be more than a generated method can hold
+    made = [x.where(kind == i).select(cand.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), F.lit(label).alias("label")) for i, (cand, before, path, label) in enumerate(kinds)]
+    return functools.reduce(DataFrame.unionByName, made).coalesce(1)
 
 
 def _vectors(found: DataFrame) -> DataFrame:

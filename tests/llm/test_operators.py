@@ -374,16 +374,66 @@ def test_evidence_decides_where_text_says_nothing(spark, awkward):
 # 7 secrets
 
 
+MORE = [
+    (9070, 'password = "Tr0ub4dor&3" then DATABASE_ADMIN_PASSWORD=hunter2!x', "en", "deploy/.env"), (9071, "postgres://user:pw9!x@host/db and http://a.example.com:8080/x", "en", "a"),
+    (9072, "the password: required; token: none", "en", "a"), (9073, "API_KEY='" + "a1B2" * 9 + "'", "en", "a"),
+]
+
+
+def scanned(t):
+    """Candidates of a text with what stands before and after, by a plain scan."""
+    found = list(re.finditer(secretscan.CANDIDATE, t, re.ASCII))
+    for k, m in enumerate(found):
+        lead = re.match(secretscan.LEAD, m[0], re.ASCII)
+        lead = lead[0] if lead else ""
+        gap = t[found[k - 1].end() if k else 0 : m.start()]
+        yield k, m[0][len(lead) :], (gap + lead)[-64:], t[m.end() : found[k + 1].start() if k + 1 < len(found) else len(t)][:48]
+
+
 def test_candidates_equal_a_scan_in_python(spark, awkward):
-    docs = table(spark, "documents").select("doc_id", "source", "text").unionByName(awkward.select("doc_id", "source", "text"))
-    want = collections.Counter()
-    for r in docs.collect():
-        t = r["text"] or ""
-        at = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}", t)]
-        for k, (a, b) in enumerate(at):
-            want[r["doc_id"], k, t[a:b], t[at[k - 1][1] if k else 0 : a][-64:], t[b : at[k + 1][0] if k + 1 < len(at) else len(t)][:48]] += 1
+    docs = table(spark, "documents").select("doc_id", "source", "text").unionByName(awkward.select("doc_id", "source", "text")).unionByName(spark.createDataFrame(MORE, NAMES).select("doc_id", "source", "text"))
+    want = collections.Counter((r["doc_id"], *f) for r in docs.collect() for f in scanned(r["text"] or ""))
     got = collections.Counter(tuple(r) for r in secretscan.findings(docs).select("doc_id", "nth", "candidate", "before", "after").collect())
     assert got == want
+    by = collections.defaultdict(list)
+    for i, _, c, *_ in sorted(want):
+        by[i].append(c)
+    assert by[9070] == ["Tr0ub4dor&3", "hunter2!x"] and by[9071][0] == "pw9!x" and by[9073] == ["a1B2" * 9] and by[9072] == ["required"]
+
+
+def test_features_equal_python(spark):
+    texts = [t for _, t, *_ in MORE] + ["commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b, see", "internationalization_of_things and example_token: 1234567890123456"]
+    found = spark.createDataFrame([(i, *f, "deploy/.env") for i, t in enumerate(texts) for f in scanned(t)], "i int, nth long, candidate string, before string, after string, path string")
+    names = secretscan.features()
+    x = found.select("candidate", "before", "after", *[v.alias(k) for k, v in names.items()]).collect()
+    assert len(x) >= 7
+    pairs, words = secretscan.common_pairs(), sorted({w for w in secretscan.DICTIONARY if len(w) >= 3 and w.isascii()}, key=lambda w: (-len(w), w))
+    for r in x:
+        c, n, low = r["candidate"], len(r["candidate"]), r["candidate"].lower()
+        share = lambda f: pytest.approx(sum(map(f, c)) / n)
+        assert r["length"] == n and r["digits"] == share(str.isdigit) and r["upper"] == share(str.isupper) and r["lower"] == share(str.islower)
+        assert r["hex"] == share(lambda ch: ch in "0123456789abcdefABCDEF") and r["separators"] == share(lambda ch: ch in "_-/")
+        assert r["pairs"] == pytest.approx(sum(low[k : k + 2] in pairs for k in range(n)) / n)
+        assert r["entropy"] == pytest.approx(-sum(k / n * math.log(k / n) for k in collections.Counter(c).values()))
+        assert r["dictionary"] == pytest.approx(1 - len(re.sub("|".join(words), "", low)) / n)
+        turn = sum((a.isdigit() and b.isalpha()) or (a.isalpha() and b.isdigit()) or (a.islower() and b.isupper()) or (a.isupper() and b.islower()) for a, b in zip(c, c[1:]))
+        assert r["turns"] == pytest.approx(turn / n) and r["config_path"] == 1 and r["test_path"] == 0
+        assert r["assigned"] == bool(re.search("(?:[:=]|=>)\\s*[\"'`]?$", r["before"])) and r["digest"] == ("commit" in r["before"])
+
+
+def test_secrets_planted_in_documents_are_found(spark):
+    """The tables plant 40 hexadecimal digits behind `token =`; nothing else there is a secret."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 5 = 0").select("doc_id", "source", "text")
+    x = secretscan.scan(docs).select("doc_id", "candidate", "before", "is_secret").collect()
+    planted = [r for r in x if re.fullmatch("[0-9a-f]{40}", r["candidate"]) and re.search('token = "$', r["before"])]
+    marked = [r for r in x if r["is_secret"]]
+    assert len(planted) > 20 and sum(r["is_secret"] for r in planted) / len(planted) > 0.95
+    assert sum(r in planted for r in marked) / len(marked) > 0.9
+
+
+def test_short_secrets_and_harmless_values(spark):
+    x = {r["candidate"]: r["is_secret"] for r in secretscan.scan(spark.createDataFrame(MORE, NAMES)).collect()}
+    assert x["Tr0ub4dor&3"] and x["hunter2!x"] and x["pw9!x"] and x["a1B2" * 9] and not x["required"]
 
 
 def test_forest_on_findings_it_has_not_seen(spark):
