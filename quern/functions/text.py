@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.stopwords import ENGLISH
 
@@ -82,12 +86,24 @@ def without_edit(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r"(?U)\s*\(\s*edit\s*\)\s*$", "")
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(markup: pd.Series) -> pd.Series:
+    return markup.map(html.unescape, na_action="ignore")
+
+
+def decoded(markup: Column | str) -> Column:
+    """Character references of HTML decoded.  Only texts with others than &amp;, &lt;, &gt;, &quot; and &#39; go to Python."""
+    c = _col(markup)
+    rare = F.regexp_like(c, F.lit("&(?!(?:amp|lt|gt|quot|#39);)[#a-zA-Z]"))
+    native = c
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        native = F.replace(native, F.lit(f"&{name};"), F.lit(value))
+    return F.coalesce(_decoded(F.when(rare, c)), native)
+
+
 def strip_html(markup: Column | str) -> Column:
-    """Tags to blanks, the common entities decoded, white space squashed."""
-    x = F.regexp_replace(_col(markup), "<[^>]+>", " ")
-    for name, value in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("#x27", "'"), ("apos", "'"), ("amp", "&")):
-        x = F.replace(x, F.lit(f"&{name};"), F.lit(value))
-    return squash(x)
+    """Tags to blanks, character references decoded, white space squashed."""
+    return squash(decoded(F.regexp_replace(_col(markup), "<[^>]+>", " ")))
 
 
 def html_title(markup: Column | str) -> Column:
@@ -155,15 +171,12 @@ def shown_title(title: Column | str, chunk_title: Column | str) -> Column:
 def composite_id(value: Column | str) -> Column:
     """struct(doc_id string, chunk_id int) of "doc_12|chunk_3", "12|3" or a plain id.
 
-    A chunk that isn't a number is chunk 0, and so is that of any other shape.  Of a document that is a
-    number the prefix goes; otherwise the part before the bar stays as it is.
+    Of more than two parts the first two count.  A chunk that isn't a number is chunk 0; a value whose
+    document isn't one stays whole, as chunk 0.
     """
     v = _col(value).cast("string")
     parts = F.split(v, "\\|")
     number = lambda c, prefix: F.regexp_replace(F.trim(c), f"^{prefix}", "").try_cast("bigint")
     doc, chunk = number(parts[0], "doc_"), number(F.get(parts, F.lit(1)), "chunk_")
-    pair = F.size(parts) == 2
-    return F.struct(
-        F.when(pair, F.coalesce(doc.cast("string"), parts[0])).otherwise(v).alias("doc_id"),
-        F.when(pair & doc.isNotNull(), F.coalesce(chunk, F.lit(0))).otherwise(0).cast("int").alias("chunk_id"),
-    )
+    pair = (F.size(parts) >= 2) & doc.isNotNull()
+    return F.struct(F.when(pair, doc.cast("string")).otherwise(v).alias("doc_id"), F.when(pair, F.coalesce(chunk, F.lit(0))).otherwise(0).cast("int").alias("chunk_id"))

@@ -13,6 +13,7 @@ from quern.functions import text as X
 
 #: Chunks that the answering model gets.
 CONTEXTS = 3
+#: What is said where nothing was found, and where the model failed.
 NO_CONTEXT = "Sorry, I couldn't find relevant information to answer this question."
 FAILED = "Sorry, there was an error generating an answer."
 
@@ -33,7 +34,7 @@ def document_text(title: Column | str, chunks: Column | str) -> Column:
     """Title and chunk contents, each with a blank behind it."""
     t, c = (F.col(v) if isinstance(v, str) else v for v in (title, chunks))
     head = F.when(t.isNotNull(), F.concat(t, F.lit(" "))).otherwise("")
-    return F.concat(head, F.array_join(F.transform(F.coalesce(c, F.array().cast("array<struct<content:string>>")), lambda x: F.concat(F.coalesce(x["content"], F.lit("")), F.lit(" "))), ""))
+    return F.concat(head, F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(F.coalesce(x["content"], F.lit("")), F.lit(" "))), ""), F.lit("")))
 
 
 def with_contents(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,16 @@ def pack_chunks(content: Column | str, most: int = MAX_WORDS) -> Column:
     return run(F.col(content) if isinstance(content, str) else content)
 
 
+def pack_lists(contents: Column, most: int = MAX_WORDS) -> Column:
+    """pack() over each of an array of contents."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda cs: [pack(c, most) for c in cs], na_action="ignore")
+
+    return run(contents)
+
+
 def clean(text: Column | str) -> Column:
     """Lower case, letters only, no stop words, stems, one blank between them."""
     return F.array_join(stem_tokens(X.content_words(text)), " ")
@@ -85,14 +95,11 @@ def chunk_sections(parsed: DataFrame, most: int | None = None, doc: str = "docum
     chunk_id counts a document's chunks in depth-first order; sections without content make none.
     `most` of 0 or None stands for MAX_WORDS.  Documents are numbered in place, without a shuffle.
     """
-    pieces = pack_chunks("s.content", most or MAX_WORDS)
-    path = F.when(F.size("s.path") > 0, X.heading_path(F.concat("s.path", F.array("s.title")))).otherwise(F.col("s.title"))
-    x = parsed.withColumn("_row", F.monotonically_increasing_id())
-    x = x.select("_row", doc, F.col("title").alias("doc_title"), F.explode("sections").alias("s")).select("_row", doc, "doc_title", F.col("s.ord").alias("ord"), path.alias("title"), pieces.alias("pieces"))
-    x = x.where(F.size("pieces") > 0).select("_row", doc, "doc_title", "ord", "title", F.posexplode("pieces").alias("part", "content"))
-    at = Window.partitionBy("_row").orderBy("ord", "part")
-    x = x.withColumn("chunk_id", (F.row_number().over(at) - 1).cast("int"))
-    return x.select(doc, "doc_title", "chunk_id", "title", "content", clean("content").alias("content_clean"))
+    pieces = pack_lists(F.transform("sections", lambda s: s["content"]), most or MAX_WORDS)
+    path = lambda s: F.when(F.size(s["path"]) > 0, X.heading_path(F.concat(s["path"], F.array(s["title"])))).otherwise(s["title"])
+    named = F.zip_with("sections", "_pieces", lambda s, p: F.transform(p, lambda c: F.struct(path(s).alias("title"), c.alias("content"))))
+    x = parsed.withColumn("_pieces", pieces).select(doc, F.col("title").alias("doc_title"), F.posexplode(F.flatten(named)).alias("chunk_id", "c"))
+    return x.select(doc, "doc_title", "chunk_id", "c.title", "c.content", clean("c.content").alias("content_clean"))
 
 
 def chunk_texts(docs: DataFrame, most: int = MAX_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,9 +50,11 @@ def _top(k: int) -> str:
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i]))"
 _E = "e as (select vec_id, embedding::double[] as v, label from embeddings)"
 _IP = _E + ", ip as (select a.vec_id as query_id, b.vec_id as vec_id, b.label, " + _DOT.format(a="a.v", b="b.v") + " as score from e a, e b)"
-_STRIP = "regexp_replace({}, '<[^>]+>', ' ', 'g')"
-for _name, _value in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("apos", "''"), ("amp", "&")):
+#: Character references that the tables hold; a decoded ampersand begins none.
+_STRIP = "regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '&amp;?', chr(1), 'g')"
+for _name, _value in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("apos", "''"), ("copy", "©"), ("middot", "·")):
     _STRIP = f"replace({_STRIP}, '&{_name};', '{_value}')"
+_STRIP = f"replace({_STRIP}, chr(1), '&')"
 _STRIP = rf"trim(regexp_replace({_STRIP}, '\s+', ' ', 'g'))"
 _TITLE = _STRIP.format(r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1)")
 _GOLD = "gold as (select item_id as query_id, min(doc_id) as wanted from benchmark b join documents d on contains(d.text, b.text) group by 1)"
@@ -119,6 +121,6 @@ select doc_id, n, l[n + 1] as sentence from (select doc_id, l, unnest(range(len(
         "title_shorten": f"""with t as (select page_id, concat_ws(' > ', {_TITLE}, url, case when page_id % 2 = 0 then {_TITLE} end) as t from pages)
 select page_id, case when length(t) <= 100 then t when len(string_split(t, '>')) > 2 then trim(string_split(t, '>')[1]) || ' > ... > ' || trim(string_split(t, '>')[-1]) else left(t, 97) || '...' end as short from t""",
         "preview_text": "select doc_id, case when length(text) > 150 then left(text, 150) || '...' else text end as preview from documents",
-        "composite_id_parse": """select conv_id, turn, case turn % 4 when 0 then 'doc_' || conv_id || '|chunk_' || turn when 1 then conv_id || '|' || turn when 2 then 'doc_' || conv_id || '|' || role else conv_id::varchar end as id,
-conv_id::varchar as doc_id, case when turn % 4 < 2 then turn else 0 end as chunk_id from conversations""",
+        "composite_id_parse": """select conv_id, turn, case turn % 6 when 0 then 'doc_' || conv_id || '|chunk_' || turn when 1 then conv_id || '|' || turn when 2 then 'doc_' || conv_id || '|' || role when 3 then conv_id::varchar
+when 4 then role || '|' || turn else 'doc_' || conv_id || '|chunk_' || turn || '|x' end as id, case when turn % 6 = 4 then role || '|' || turn else conv_id::varchar end as doc_id, case when turn % 6 in (0, 1, 5) then turn else 0 end as chunk_id from conversations""",
     }

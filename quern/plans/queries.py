@@ -115,11 +115,6 @@ def stopword_filter(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(F.filter(_plain("text"), lambda t: ~t.isin(*ENGLISH)), " ").alias("content_words"))
 
 
-def text_clean_stemmed(spark, d):
-    """No SQL: stems."""
-    return _t(spark, d, "documents").select("doc_id", chunks.clean("text").alias("cleaned"))
-
-
 def vector_topk_ip(spark, d):
     e = _t(spark, d, "embeddings")
     x = vector_search.search(e.select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), 5, WIDTH)
@@ -218,11 +213,6 @@ def chunk_sentences(spark, d):
     return x.where("sentence <> ''").select("doc_id", F.col("n").cast("long").alias("n"), "sentence")
 
 
-def chunk_documents(spark, d):
-    """No SQL: a greedy fold over each text."""
-    return chunks.chunk_texts(_t(spark, d, "documents"), 200).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "content")
-
-
 def html_strip(spark, d):
     return _t(spark, d, "pages").select("page_id", X.strip_html("html").alias("text"))
 
@@ -275,8 +265,8 @@ def preview_text(spark, d):
 def composite_id_parse(spark, d):
     c = _t(spark, d, "conversations")
     doc, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    kinds = [F.concat(F.lit("doc_"), doc, F.lit("|chunk_"), turn), F.concat(doc, F.lit("|"), turn), F.concat(F.lit("doc_"), doc, F.lit("|"), F.col("role")), doc]
-    made = F.element_at(F.array(*kinds), (F.col("turn") % 4 + 1).cast("int"))
+    kinds = [F.concat(F.lit("doc_"), doc, F.lit("|chunk_"), turn), F.concat(doc, F.lit("|"), turn), F.concat(F.lit("doc_"), doc, F.lit("|"), F.col("role")), doc, F.concat(F.col("role"), F.lit("|"), turn), F.concat(F.lit("doc_"), doc, F.lit("|chunk_"), turn, F.lit("|x"))]
+    made = F.element_at(F.array(*kinds), (F.col("turn") % 6 + 1).cast("int"))
     x = c.select("conv_id", "turn", made.alias("id")).withColumn("p", X.composite_id("id"))
     return x.select("conv_id", "turn", "id", F.col("p.doc_id").alias("doc_id"), F.col("p.chunk_id").cast("long").alias("chunk_id"))
 
@@ -290,9 +280,9 @@ def ann_ivf_topk(spark, d):
 
 
 ALL = (
-    bm25_topk, bm25_idf, bm25_corpus_stats, bm25_all_scores_by_doc, bm25_doc_dedup_topk, tfidf_idf, term_freq, doc_freq, text_normalize, stopword_filter, text_clean_stemmed,
+    bm25_topk, bm25_idf, bm25_corpus_stats, bm25_all_scores_by_doc, bm25_doc_dedup_topk, tfidf_idf, term_freq, doc_freq, text_normalize, stopword_filter,
     vector_topk_ip, vector_l2_normalize, vector_weighted_mean, vector_doc_dedup_topk, hybrid_rerank, keyword_overlap, recall_mrr, exact_match_accuracy, not_found_report, inline_metrics,
-    hit_rate, chunk_slices, chunk_sentences, chunk_documents, html_strip, html_title, html_sections, html_chunks, context_prompt, search_response, title_shorten, preview_text,
+    hit_rate, chunk_slices, chunk_sentences, html_strip, html_title, html_sections, html_chunks, context_prompt, search_response, title_shorten, preview_text,
     composite_id_parse, ann_ivf_topk,
 )
 

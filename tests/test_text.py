@@ -35,6 +35,7 @@ def test_small_functions(spark):
     assert one(spark, X.without_edit("t"), t="History ( edit ) ") == "History"
     assert one(spark, X.sentences("t"), t="A b. C!  D? e") == ["A b.", "C!", "D?", "e"]
     assert one(spark, X.strip_html("t"), t="<p>a&amp;lt; <b>b</b></p>") == "a&lt; b"
+    assert one(spark, X.strip_html("t"), t="caf&eacute; &mdash; &#8217;&amp;copy;&") == "café — ’&copy;&" and one(spark, X.strip_html("t"), t=None) is None
     assert one(spark, X.keyword_overlap("q", "t"), q="The cat the", t="Cathedral theory") == 1.0
     assert one(spark, X.hybrid_score("v", "q", "t"), v=0.5, q="The cat the", t="Cathedral theory") == pytest.approx(0.65)
     assert one(spark, X.hybrid_score("v", "q", F.lit(None).cast("string")), v=0.5, q="x") == 0.5
@@ -44,7 +45,7 @@ def test_small_functions(spark):
     assert one(spark, X.shown_score("s"), s=1234.5) == "1234.50"
 
 
-@pytest.mark.parametrize(("given", "doc", "chunk"), [("doc_12|chunk_3", "12", 3), ("12|3", "12", 3), ("doc_12|x", "12", 0), ("a|b", "a", 0), ("77", "77", 0)])
+@pytest.mark.parametrize(("given", "doc", "chunk"), [("doc_12|chunk_3", "12", 3), ("12|3", "12", 3), ("doc_12|x", "12", 0), ("a|b", "a|b", 0), ("77", "77", 0), ("doc_1|chunk_2|x", "1", 2), ("a|1|2", "a|1|2", 0), (None, None, 0)])
 def test_composite_ids(spark, given, doc, chunk):
     assert tuple(one(spark, X.composite_id("t"), t=given)) == (doc, chunk)
 
@@ -77,3 +78,16 @@ def test_pages_to_chunks(spark):
     assert [tuple(r) for r in got.orderBy("chunk_id").collect()] == [(3, "T", 0, "T", " The cats ran.", "cat ran"), (3, "T", 1, "T", "Dogs hopped.", "dog hop"), (3, "T", 2, "T > U", "x y", "x")]
     assert corpus(got).count() == 3
     assert [len(r["chunks"]) for r in chunks.nested(got).collect()] == [3] and chunks.flat(chunks.nested(got)).count() == 3
+
+
+def test_numbering_of_chunks_moves_no_rows(spark):
+    pages = spark.createDataFrame([(1, "<h1>T</h1><p>a b c d e f</p><h2>U</h2><p>x</p>"), (2, None)], "document_id long, document_text string")
+    x = chunks.chunk_sections(sections.parse_sections(pages), 4)
+    assert [tuple(r) for r in x.select("chunk_id", "title", "content").collect()] == [(0, "T", "a b c d"), (1, "T", "e f"), (2, "T > U", "x")]
+    assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_an_inverted_index():
+    from quern.functions.vectors import cells_for
+
+    assert cells_for(10_000) is None and cells_for(10_001) == (1000, 64) and cells_for(50_000) == (4096, 64)
