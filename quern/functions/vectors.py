@@ -21,8 +21,9 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """The vector at length one; a zero vector stays."""
-    x, n = as_double(v), norm(v)
-    return F.when(n > 0, F.transform(x, lambda e: e / n)).otherwise(x)
+    x = as_double(v)
+    # the norm is bound once, or it would be summed anew for every component
+    return F.element_at(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(x, lambda e: e / n)).otherwise(x)), 1)
 
 
 def scaled(v: Column | str, by: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +47,69 @@ def means(counts: DataFrame, words: DataFrame, idf: DataFrame | None, width: int
     Each occurrence adds tf / dl * idf * vec, so a term weighs with the square of its count; unseen
     terms have idf 1.  Without idf every occurrence adds its vector.
     """
-    table = words.select("term", F.col("vec").cast("array<double>").alias("wv"))
     by = F.col("tf").cast("double")
+    x = counts
     if idf is not None:
-        # one row a word, as many as before
-        table = table.join(idf.select("term", "idf"), "term", "left")
-    x = counts.join(F.broadcast(table) if small(words, WORDS) else table, "term")
-    if idf is not None:
+        x = x.join(idf.select("term", "idf"), "term", "left")
         by = by * F.col("tf") / F.col("dl") * F.coalesce("idf", F.lit(1.0))
-    x = x.withColumn("by", by)
-    sums = x.groupBy("ord").agg(*(F.sum(F.col("by") * F.col("wv")[i]).alias(f"d{i}") for i in range(width)))
-    sums = sums.select("ord", V.unit(F.array(*(F.col(f"d{i}") for i in range(width)))).alias("vec"))
+    x = x.select("ord", "term", by.alias("by"))
+    sums = _summed(x, words, width) if small(words, WORDS) else _joined(x, words, width)
+    sums = sums.select("ord", V.unit("vec").alias("vec"))
     return keys.join(sums, "ord", "left").withColumn("vec", F.coalesce("vec", F.array(*[F.lit(0.0)] * width)))
 
 
+def _joined(x: DataFrame, words: DataFrame, width: int) -> DataFrame:
+    """(ord, vec): the sums of by * vec over (ord, term, by), for tables of any size."""
+    x = x.join(words.select("term", F.col("vec").cast("array<double>").alias("wv")), "term")
+    sums = x.groupBy("ord").agg(*(F.sum(F.col("by") * F.col("wv")[i]).alias(f"d{i}") for i in range(width)))
+    return sums.select("ord", F.array(*(F.col(f"d{i}") for i in range(width))).alias("vec"))
+
+
+def _summed(x: DataFrame, words: DataFrame, width: int) -> DataFrame:
+    """The same with the table, WORDS rows at most, as a matrix on every executor: only (ord, term, by) is shuffled."""
+    held = words.select("term", F.slice(F.col("vec").cast("array<float>"), 1, width).alias("v")).where(F.size("v") == width).toArrow()
+    matrix = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    sent = words.sparkSession.sparkContext.broadcast((held.column("term").to_pylist(), matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, table = sent.value
+        at = {w: i for i, w in enumerate(terms)}
+        held, last = None, None
+        for batch in batches:
+            place = np.array([at.get(w, -1) for w in batch.column(1).to_pylist()], np.int64)
+            some = place >= 0
+            if not some.any():
+                continue
+            ords, by = np.asarray(batch.column(0))[some], np.asarray(batch.column(2))[some]
+            begin = np.flatnonzero(np.concatenate([[True], ords[1:] != ords[:-1]]))
+            sums, ords = np.add.reduceat(by[:, None] * table[place[some]].astype(np.float64), begin, axis=0), ords[begin]
+            # a chunk can go on in the next batch
+            if held is not None and last == ords[0]:
+                sums[0] += held
+            elif held is not None:
+                ords, sums = np.concatenate([[last], ords]), np.concatenate([held[None], sums])
+            last, held = ords[-1], sums[-1]
+            if len(ords) > 1:
+                yield _rows(ords[:-1], sums[:-1])
+        if held is not None:
+            yield _rows(np.array([last]), held[None])
+
+    return x.repartition("ord").sortWithinPartitions("ord").mapInArrow(run, "ord long, vec array<double>")
+
+
+def _rows(ords: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(ords.astype(np.int64)), flat], ["ord", "vec"])
+
+
 def build(chunks: DataFrame, words: DataFrame, width: int, *, weighted: bool = True, preprocess: bool = True) -> Index:
-    """The vectors of (ord, doc_id, chunk_id, title, content), whose contents are split at white space."""
+    """The vectors of (ord, doc_id, chunk_id, title, content), whose contents are split at white space.
+
+    Only words of the table are counted, others have no vector; their counts are kept for the idf and the means.
+    """
     x = chunks.select("ord", "doc_id", "chunk_id", "title", X.tokens("content").alias("terms"))
-    n = x.count()
-    counts = term_frequencies(x)
+    n = chunks.count()
+    counts = term_frequencies(x, words).persist()
     idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", smoothed_idf(n, "df"))
     vectors = means(counts, words, idf if weighted else None, width, x.select("ord", "doc_id", "chunk_id", "title"))
     return Index(vectors, idf, words, width, weighted, preprocess)

@@ -13,7 +13,7 @@ from quern.sources.jsonl import exists
 
 
 def save_bm25(index: bm25.Index, path: str, buckets: int = 64) -> None:
-    """Postings are laid out by a hash of their term, so that a query reads its terms' buckets only."""
+    """Postings are laid out by a hash of their term; a search over some terms loads their buckets only."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     index.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
     index.terms.write.parquet(f"{path}/terms")
@@ -23,13 +23,16 @@ def save_bm25(index: bm25.Index, path: str, buckets: int = 64) -> None:
     spark.createDataFrame([row], "n long, avgdl double, k1 double, b double, epsilon double, buckets int").coalesce(1).write.parquet(f"{path}/corpus")
 
 
-def load_bm25(spark: SparkSession, path: str) -> bm25.Index:
-    """The saved index; its parameters are those it was saved with."""
+def load_bm25(spark: SparkSession, path: str, terms: list[str] | None = None) -> bm25.Index:
+    """The saved index; its parameters are those it was saved with.  With `terms`, only the postings in their buckets are read."""
     c = spark.read.parquet(f"{path}/corpus").first()
     if c is None:
         raise ValueError(f"no index at {path}")
-    postings = spark.read.parquet(f"{path}/postings").drop("bucket")
-    return bm25.Index(postings, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/chunks"), c["n"], c["avgdl"], c["k1"], c["b"], c["epsilon"])
+    postings = spark.read.parquet(f"{path}/postings")
+    if terms is not None:
+        wanted = spark.createDataFrame([(w,) for w in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(c["buckets"])).cast("int").alias("b")).distinct()
+        postings = postings.where(F.col("bucket").isin(*[r["b"] for r in wanted.collect()]))
+    return bm25.Index(postings.drop("bucket"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/chunks"), c["n"], c["avgdl"], c["k1"], c["b"], c["epsilon"])
 
 
 def save_vectors(index: word_vectors.Index, path: str) -> None:
