@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import ship
+from quern.session import ship, work_dir
 
 #: A word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,21 +27,26 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared folder of spark.checkpoint.dir.
+_open: list[list[DataFrame]] = []
 
-    Only a local master may go without that setting; it then gets a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Work tables written inside are removed at the end, but for those given to keep()."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        discard(*_open.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, a work table, outlives the innermost scratch() and belongs to the one around it."""
+    if _open and any(df is held for held in _open[-1]):
+        _open[-1] = [held for held in _open[-1] if held is not df]
+        if len(_open) > 1:
+            _open[-2].append(df)
+    return df
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -53,6 +59,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 

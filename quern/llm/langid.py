@@ -166,7 +166,7 @@ def identify(rows: DataFrame, labelled: DataFrame, languages: tuple[str, ...] =
 
     Null and empty texts, texts without letters: the prior and the declaration decide.  Rows without url and site share the
     host ''.  Null ids and repeated rows are each a row of their own.  Of equal posteriors the language first in
-    `languages` wins.  Other columns are left out.
+    `languages` wins.  Whole texts count, however long.  Other columns are left out; an empty table gives an empty result.
     """
     k = len(languages)
     x = materialize(evidence(rows, fit(labelled, languages), languages).withColumn("own", _soft(F.col("ll"))))

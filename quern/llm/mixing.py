@@ -127,6 +127,13 @@ def repeat(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("_copy", F.explode(copies)).select(*given)
 
 
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns, whatever those are called."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_of_docs")
+    x = repeat(mix(docs.select(whole, "doc_id", "text", "source"), split=False, **how))
+    return x.select(*[F.col("row_of_docs").getField(c).alias(c) for c in docs.columns])
+
+
 def oracle(max_epochs: int = 3, seed: str = "mix-1") -> str:
     """size, source_size, target and taken with weights 1, 2, 3, in DuckDB."""
     return rf"""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, materialize
+from quern.llm.common import discard, keep, materialize, scratch
 from quern.llm.graph import components
 
 CHUNKS, CHUNK = 12, 6
@@ -385,10 +385,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     component_id is the smallest doc_id reachable over links, the document itself included, and kept says that it is
     the document itself.  Texts that are null or hold no words have 0 shingles and link with nothing.
     Rows that share a doc_id are one document, linked by any of its texts; rows with a null doc_id
-    link with nothing, have a null component_id and are not kept.  Sets that are equal form one class, for
+    link with nothing, have a null component_id and are not kept.  Whole texts count, however long; an empty table gives an
+    empty result; other columns, whatever their names, are left out.  Sets that are equal form one class, for
     which its smallest doc_id stands.  percent is from 80 up: the signature join is laid out for that.
     """
-    return _compared(docs, size, percent)[0]
+    with scratch():
+        return keep(materialize(_compared(docs, size, percent)[0]))
 
 
 def _compared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -88,6 +88,20 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def step_gradient(w: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The unlabelled part of the risk and the gradient to follow at w and bias; p and u are the cells of the rows.
+
+    It is that of the whole risk, or, where the unlabelled part is below -SLACK, that part's turned round.
+    """
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    gather = lambda cells, g: np.append(np.bincount(cells.ravel(), np.repeat(g, cells.shape[1]), len(w)), g.sum())
+    sp, su = sig(w[p].sum(1) + bias), sig(w[u].sum(1) + bias)
+    part = float(su.mean() - prior * sp.mean())
+    g_pos = gather(p, -prior * sp * (1 - sp) / len(p))
+    g_neg = gather(u, su * (1 - su) / len(u)) + g_pos
+    return part, g_pos + g_neg if part >= -SLACK else -g_neg
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, l2: float = 1e-4) -> Model:
     """Minimises prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) for the sigmoid loss l.
 
@@ -106,13 +120,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     l2 += 0.2 / len(positive)
     w, bias = np.zeros(size), 0.0
     m, v, step = np.zeros(size + 1), np.zeros(size + 1), 0.03
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    gather = lambda cells, g: np.append(np.bincount(cells.ravel(), np.repeat(g, cells.shape[1]), size), g.sum())
     for t in range(1, rounds + 1):
-        sp, su = sig(w[p].sum(1) + bias), sig(w[u].sum(1) + bias)
-        g_pos = gather(p, -prior * sp * (1 - sp) / len(p))
-        g_neg = gather(u, su * (1 - su) / len(u)) + g_pos
-        g = g_pos + g_neg if su.mean() - prior * sp.mean() >= -SLACK else -g_neg
+        g = step_gradient(w, bias, p, u, prior)[1]
         g[:-1] += l2 * w
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
@@ -156,12 +165,17 @@ def score(model: Model, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs; a null doc_id is not held out."""
+    """doc_id, held_out, score and predicted for every row of docs.
+
+    A null doc_id is not held out; null and empty texts get the score of zeros.  Whole texts are scored, however
+    long; repeated rows are each scored.  Null labels are left out; without any, or without good ones, all scores are
+    the prior.  Other columns, whatever their names, are neither read nor returned.  An empty table gives an
+    empty result.
+    """
     s = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(train(docs, labels), F.col("text")).alias("score"))
     return s.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier accepts, unchanged."""
-    x = docs.withColumn("_quality_score", score(train(docs, labels), F.col("text")))
-    return x.where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    """The rows of docs that the classifier accepts, unchanged, whatever their columns; nulls and repeats as in classify()."""
+    return docs.where(score(train(docs, labels), F.col("text")) >= threshold)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, materialize
+from quern.llm.common import discard, keep, materialize, scratch
 from quern.llm.graph import components
 
 #: Vectors and bytes that the cells are fitted on at most; every vector is then dealt to cells.
@@ -131,7 +131,8 @@ def near_duplicates(
     with each other) and share the component.  Vectors of another length than most link only with vectors of
     their length, in a cell of their own.  An empty table gives an empty result; other columns are left out.
     """
-    return _compared(rows, threshold, block, cell, probes, fit_rows)[0]
+    with scratch():
+        return keep(materialize(_compared(rows, threshold, block, cell, probes, fit_rows)[0]))
 
 
 def _compared(rows: DataFrame, threshold: float, block: int, cell: int, probes: int, fit_rows: int) -> tuple[DataFrame, DataFrame]:
