@@ -38,7 +38,6 @@ END_ID = 2
 LEAST = 16
 #: Stored bytes of input that a range of documents holds, about, and ranges at most.
 RANGE_BYTES, RANGES = 64 << 20, 200_000
-_BUCKET_BITS = 18
 _HEAD = struct.Struct("<4s5Q")
 #: White space to Python that the tokenizer takes for text.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -137,25 +136,41 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
-def _frequent(s: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs that begin at places `at` those that stand there `least` times: their places, which of them, and the pairs.
+def _frequent(s: np.ndarray, ends: np.ndarray, fresh: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs within documents that stand `least` times, those that hold a symbol from `fresh` on: their places, which of them, and the pairs.
 
-    Many pairs are counted in hash buckets first; only those in buckets that are full enough are sorted.
+    Pairs are counted in hash buckets first; only those in buckets that are full enough are sorted.  Of two
+    frequent pairs in one bucket one is left for a later round.
     """
-    key = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
-    if len(at) > 1 << 14:
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
-        hot = np.bincount(bucket, minlength=1 << _BUCKET_BITS)[bucket] >= least
-        at, key = at[hot], key[hot]
+    if fresh:
+        new = s >= fresh
+        at = np.flatnonzero((new[:-1] | new[1:]) & ~ends[:-1])
+        a, b = s[at], s[at + 1]
+    else:
+        at, a, b = None, s[:-1], s[1:]
+    bits = min(20, max(8, int(len(a)).bit_length() + 1))
+    hashed = lambda x, y: ((x * np.uint32(0x9E3779B1)) ^ (y * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
+    bucket = hashed(a, b).astype(np.int64)
+    if at is None:
+        # pairs over the end of a document have a bucket of their own
+        bucket[ends[:-1]] = 1 << bits
+    hot = np.bincount(bucket, minlength=(1 << bits) + 1) >= least
+    hot[1 << bits] = False
+    some = np.flatnonzero(hot[bucket])
+    key = (a[some].astype(np.uint64) << np.uint64(32)) | b[some]
     order = np.sort(key)
     begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), order[1:] != order[:-1]]))
     pairs = order[begin[np.diff(np.append(begin, len(order))) >= least]]
+    table = np.full((1 << bits) + 1, -1, np.int32)
+    own = hashed((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+    table[own] = np.arange(len(pairs), dtype=np.int32)
+    pairs = pairs[table[own] == np.arange(len(pairs))]
     if not len(pairs):
-        return at[:0], at[:0], pairs
-    of = np.searchsorted(pairs, key)
-    of[of == len(pairs)] = 0
-    hit = pairs[of] == key
-    return at[hit], of[hit], pairs
+        return some[:0], some[:0], pairs
+    table[hashed((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = np.arange(len(pairs), dtype=np.int32)
+    of = table[bucket[some]]
+    hit = (of >= 0) & (pairs[of] == key)
+    return (some if at is None else at[some])[hit], of[hit].astype(np.int64), pairs
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
@@ -168,11 +183,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST):
     s, ends, left, right = ids.astype(np.uint32), ends.copy(), [], []
     rules, fresh = 0, 0
     while len(s) > 1:
-        near = ~ends[:-1]
-        if fresh:
-            new = s >= fresh
-            near &= new[:-1] | new[1:]
-        at, of, pairs = _frequent(s, np.flatnonzero(near), least)
+        at, of, pairs = _frequent(s, ends, fresh, least)
         if not len(pairs):
             if not fresh:
                 break
@@ -246,8 +257,10 @@ class Shard:
         out[rule] = self.lengths[symbols[rule].astype(np.int64) - self.first]
         return out
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        s = symbols.astype(np.uint32)
+    @functools.cached_property
+    def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each rule's ids begin in an array that holds all token ids and then those of the rules, and that array."""
+        s = np.arange(self.first, self.first + len(self.left), dtype=np.uint32)
         while len(at := np.flatnonzero(s >= self.first)):
             k = s[at].astype(np.int64) - self.first
             size = np.ones(len(s), np.int64)
@@ -257,7 +270,16 @@ class Shard:
             out[to] = s
             out[to[at]], out[to[at] + 1] = self.left[k], self.right[k]
             s = out
-        return s
+        begin = np.cumsum(self.lengths.astype(np.int64)) - self.lengths
+        return self.first + begin, np.concatenate([np.arange(self.first, dtype=np.uint32), s])
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        begins, flat = self._expanded
+        rule = symbols >= self.first
+        begin = symbols.astype(np.int64)
+        begin[rule] = begins[begin[rule] - self.first]
+        size = self.spans(symbols)
+        return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
     def doc(self, i: int) -> np.ndarray:
         """The ids of the i-th document."""
@@ -324,7 +346,8 @@ def read(written: DataFrame) -> DataFrame:
                 x = Shard(blob.as_py())
                 ids = x.expand(x.symbols)
                 upto = np.concatenate([[0], np.cumsum(x.spans(x.symbols))])[x.begins.astype(np.int64)]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(upto[:-1], upto[1:], strict=True)]
+                raw = memoryview(ids.astype("<u4").view(np.uint8))
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
                 n = len(x.doc_ids)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(x.doc_ids, pa.int64()), "part": pa.array([part.as_py()] * n, pa.int32()), "shard": pa.array([shard.as_py()] * n, pa.int32()), "at": pa.array(upto[:-1], pa.int64()), "n_tokens": pa.array(np.diff(upto), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
