@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import materialize
+
 #: A candidate is a whole run of key characters, 16 or more of them, or what is assigned to a secret's name or
 #: stands for a password in an address, from 6 and 3 characters on.
 RUN = r"[A-Za-z0-9+/_\-]"
@@ -19,7 +21,7 @@ _ASSIGNED = rf"{_NAMES}[\"'`]?[ \t]{{0,3}}(?:=>|:=|[:=])[ \t]{{0,3}}[\"'`]?"
 _USER = r"://[^\s:@/]{1,64}:"
 _VALUE = r"[^\s\"'`,;<>(){}\[\]|]{6,200}+"
 _PASS = r"[^\s@/]{3,128}(?=@)"
-CANDIDATE = rf"(?<!{RUN})(?={RUN}{{16}})(?!{RUN}*?{_ASSIGNED}){RUN}{{16,}}+={{0,2}}|{_ASSIGNED}{_VALUE}|{_USER}{_PASS}"
+CANDIDATE = rf"(?<!{RUN})(?={RUN}{{16}})(?!{RUN}*?{_ASSIGNED}){RUN}{{16,}}+={{0,2}}|(?=[abcpstABCPST]){_ASSIGNED}{_VALUE}|{_USER}{_PASS}"
 #: The part of a match that only leads to the candidate.
 LEAD = rf"^(?:{_ASSIGNED}(?={_VALUE}$)|{_USER})"
 #: Characters of the text around a candidate whose words count as its neighbours.
@@ -183,7 +185,8 @@ def _vectors(found: DataFrame) -> DataFrame:
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
     """A forest on rows of (candidate, before, after, path, label), FIT_FINDINGS of them at most."""
     some = labelled.where("label is not null").orderBy(F.xxhash64("candidate", "before", "after", "path"), "label").limit(FIT_FINDINGS)
-    rows = _vectors(some.withColumn("_label", F.col("label").cast("double"))).select("_vector", "_label")
+    # written first: fitting reads the rows several times
+    rows = materialize(_vectors(some.withColumn("_label", F.col("label").cast("double"))).select("_vector", "_label"))
     return RandomForestClassifier(featuresCol="_vector", labelCol="_label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(rows)
 
 
