@@ -9,14 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
-from quern.operators.topk import DECIMALS, top_k
+from quern.operators.sizes import small
+from quern.operators.topk import Best, top_k
 
-#: Query vectors that a pass over the corpus holds; more queries take more passes.
+#: Query vectors that come to the driver and go to every task; more are dealt to groups.
 QUERIES_A_PASS = 4_096
+#: Query vectors of a group, vectors of a part of the corpus, and products that stand in memory at once.
+GROUP, PART, CELLS = 65_536, 262_144, 2_097_152
 #: Vectors that cells are fitted on at most (those of least hash).
 FIT_ROWS = 100_000
 
@@ -29,55 +32,99 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray,
     return np.asarray(flat.fill_null(0.0)).reshape(-1, width), at
 
 
-def _blocks(queries: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries wide enough, QUERIES_A_PASS at a time; the query set comes to the driver."""
-    rows = queries.select("query_id", V.fitted("vec", width).alias("v")).where("v is not null").orderBy("query_id").toLocalIterator()
-    ids, vecs = [], []
-    for r in rows:
-        ids.append(r["query_id"])
-        vecs.append(r["v"])
-        if len(ids) == QUERIES_A_PASS:
-            yield np.array(ids, np.int64), np.array(vecs, np.float64)
-            ids, vecs = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vecs, np.float64)
+def search(corpus: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
+    """(query_id, rank, ord, score) and other columns of the corpus: the k largest inner products of (query_id, vec) with (ord, vec).
 
+    Longer query vectors are cut to the width, shorter ones find nothing.  Of equal scores the smaller ord comes
+    first.  For up to QUERIES_A_PASS queries the corpus is read once and never shuffled: vectors are multiplied
+    with the queries and only the k best of each partition and query go on.  More queries are dealt to groups.
+    """
+    if not small(queries, QUERIES_A_PASS):
+        return _grid(corpus, queries, k, width)
+    rows = queries.select("query_id", V.fitted("vec", width).alias("v")).where("v is not null").orderBy("query_id").collect()
+    ids, vecs = np.array([r["query_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64).reshape(-1, width)
+    sent = corpus.sparkSession.sparkContext.broadcast((ids, vecs))
+    rest = [c for c in corpus.columns if c not in ("ord", "vec")]
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
-    """(query_id, rank, ord, score): the k largest inner products of (query_id, vec) with (ord, vec).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs = sent.value
+        best = Best(ids, k)
+        for batch in batches if len(ids) else ():
+            for at in range(0, batch.num_rows, max(1, CELLS // len(ids))):
+                part = batch.slice(at, max(1, CELLS // len(ids)))
+                m, some = _matrix(part.column(0), width)
+                rows = part.select(part.schema.names[1:]).take(pa.array(some))
+                _multiplied(best, vecs, m, rows)
+        yield from best.batches()
+
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in corpus.select(*rest).schema.fields)
+    part = corpus.select("vec", F.col("ord").cast("long").alias("ord"), *rest).mapInArrow(run, f"query_id long, score double, ord long{fields}")
+    return top_k(part, k).select("query_id", "rank", "ord", "score", *rest)
+
+
+def _multiplied(best: Best, vecs: np.ndarray, m: np.ndarray, rows: pa.RecordBatch) -> None:
+    """Adds the products of the queries with the vectors of the rows: all in single precision, the best again in double."""
+    if not len(m):
+        return
+    far = np.sqrt((vecs**2).sum(axis=1).max() * (m**2).sum(axis=1).max())
+    if far < 1e15:
+        query, row = best.cut(vecs.astype(np.float32) @ m.astype(np.float32).T, far * vecs.shape[1] * 2.0**-22)
+    else:
+        query, row = best.cut(vecs @ m.T)
+    score = np.concatenate([np.einsum("ij,ij->i", vecs[query[i : i + CELLS]], m[row[i : i + CELLS]]) for i in range(0, len(query), CELLS)] or [np.zeros(0)])
+    best.add(query, row, score, np.asarray(rows.column("ord")), rows)
 
-    The corpus is read once a block of queries and never shuffled: a batch of vectors is multiplied
-    with the block and only the k best of each partition and query go on.  Longer query vectors are cut to
-    the width, shorter ones find nothing.  Of equal scores the smaller ord comes first.
+
+def _grid(corpus: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
+    """search() for many queries: a grid of groups of GROUP queries and parts of the corpus, each cell a task.
+
+    Equal query vectors are searched once; of equal vectors of the corpus only the k smallest ords can be among the best.
     """
-    spark = corpus.sparkSession
-    out = None
-    for ids, vecs in _blocks(queries, width):
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, vecs=vecs) -> Iterator[pa.RecordBatch]:
-            ords = np.zeros((len(ids), 0), np.int64)
-            best = np.zeros((len(ids), 0))
-            for batch in batches:
-                m, at = _matrix(batch.column(1), width)
-                mine = np.asarray(batch.column(0).cast(pa.int64()))[at]
-                s = vecs @ m.T
-                if s.shape[1] > 4 * k:
-                    # all that reach the k-th best, ties included
-                    low = np.round(-np.partition(-s, k - 1, axis=1)[:, k - 1 : k], DECIMALS) - 10.0**-DECIMALS
-                    some = (s >= low).any(axis=0)
-                    s, mine = s[:, some], mine[some]
-                best = np.concatenate([best, s], axis=1)
-                ords = np.concatenate([ords, np.broadcast_to(mine, s.shape)], axis=1)
-                order = np.lexsort((ords, -np.round(best, DECIMALS)), axis=1)[:, :k]
-                best, ords = np.take_along_axis(best, order, 1), np.take_along_axis(ords, order, 1)
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(ords.ravel()), pa.array(best.ravel())], ["query_id", "ord", "score"])
-
-        part = corpus.select(F.col("ord").cast("long").alias("ord"), "vec").mapInArrow(run, "query_id long, ord long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, ord long, score double")
-    return top_k(out, k).select("query_id", "rank", "ord", "score")
+    rest = [c for c in corpus.columns if c not in ("ord", "vec")]
+    q = queries.select("query_id", V.fitted("vec", width).alias("v")).where("v is not null")
+    one = q.groupBy("v").agg(F.min("query_id").cast("long").alias("one"))
+    plain = F.transform(V.as_double("vec"), lambda x: F.coalesce(x, F.lit(0.0)))
+    c = corpus.select(F.col("ord").cast("long").alias("ord"), plain.alias("v")).where(F.size("v") == width)
+    c = c.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("ord"))).where(F.col("_n") <= k).select("ord", "v")
+    one, c = one.persist(), c.persist()
+    groups = max(1, -(-one.count() // GROUP))
+    parts = max(1, -(-2 * corpus.sparkSession.sparkContext.defaultParallelism // groups), -(-c.count() // PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = one.select((F.pmod(F.xxhash64("one"), F.lit(groups)).cast("int")).alias("g"), "one", "v").select("g", every(parts).alias("p"), F.lit(0).alias("side"), F.col("one").alias("ord"), "v")
+    right = c.select(F.pmod(F.xxhash64("ord"), F.lit(parts)).cast("int").alias("p"), "ord", "v").select(every(groups).alias("g"), "p", F.lit(1).alias("side"), "ord", "v")
+    cells = left.unionByName(right).select((F.col("g") * parts + F.col("p")).alias("cell"), "side", "ord", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vecs, best = None, [], [], []
+        for batch in batches:
+            keys = np.asarray(batch.column(0)).astype(np.int64) * 2 + np.asarray(batch.column(1))
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                cell, side = divmod(int(keys[begin]), 2)
+                if cell != now:
+                    for b, _ in best:
+                        yield from b.batches()
+                    now, ids, vecs, best = cell, [], [], []
+                part = batch.slice(begin, end - begin)
+                m, _ = _matrix(part.column(3), width)
+                if side == 0:
+                    ids.append(np.asarray(part.column(2)))
+                    vecs.append(m)
+                    continue
+                if ids:
+                    i, v = np.concatenate(ids), np.concatenate(vecs)
+                    best, ids = [(Best(i[j : j + 2048], k), v[j : j + 2048]) for j in range(0, len(i), 2048)], []
+                for at in range(0, len(m), CELLS // 2048):
+                    rows = part.slice(at, CELLS // 2048).select(["ord"])
+                    for b, v in best:
+                        _multiplied(b, v, m[at : at + CELLS // 2048], rows)
+        for b, _ in best:
+            yield from b.batches()
+
+    found = cells.repartition(2 * groups * parts, "cell").sortWithinPartitions("cell", "side", "ord").mapInArrow(run, "one long, score double, ord long")
+    found = top_k(found, k, query="one")
+    hits = q.join(one, "v").select("query_id", "one").join(found, "one").select("query_id", "rank", "ord", "score")
+    return hits.join(corpus.select("ord", *rest), "ord").select("query_id", "rank", "ord", "score", *rest) if rest else hits
 
 
 @dataclass

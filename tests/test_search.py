@@ -69,6 +69,19 @@ def test_vector_search_equals_sorting(spark):
     assert {(r["query_id"], r["rank"]): r["ord"] for r in vector_search.search_cells(cells, q, 4).collect()} == want
 
 
+def test_many_queries_are_dealt_to_groups(spark, monkeypatch):
+    for name, n in (("QUERIES_A_PASS", 10), ("GROUP", 70), ("PART", 90)):
+        monkeypatch.setattr(vector_search, name, n, raising=False)
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (300, 6)).astype(float)
+    v[50:90] = v[7]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0])], "ord long, vec array<double>").repartition(5)
+    x = vector_search.search(df, df.withColumnRenamed("ord", "query_id"), 4, 6)
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r["query_id"], r["rank"]): r["ord"] for r in x.collect()}
+    assert got == {(i, k + 1): int(o) for i in range(300) for k, o in enumerate(np.lexsort((np.arange(300), -(v @ v[i])))[:4])}
+
+
 def test_cells_recall(spark):
     from quern.plans.queries import ann_ivf_topk, vector_topk_ip
 
