@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,20 @@ def test_many_queries_are_dealt_to_groups(spark, monkeypatch):
     assert got == {(i, k + 1): int(o) for i in range(300) for k, o in enumerate(np.lexsort((np.arange(300), -(v @ v[i])))[:4])}
 
 
+def test_the_best_of_blocks_are_those_of_all():
+    rng = np.random.default_rng(2)
+    scores = rng.integers(0, 40, (5, 3000)) / 8.0
+    best = topk.Best(np.arange(5), 10)
+    for at in range(0, 3000, 500):
+        rows = pa.record_batch([pa.array(np.arange(at, at + 500)), pa.array([f"t{i}" for i in range(at, at + 500)])], ["ord", "title"])
+        query, row = best.cut(scores[:, at : at + 500])
+        best.add(query, row, scores[:, at : at + 500][query, row], np.arange(at, at + 500), rows)
+        assert best.rows.num_rows <= 50
+    got = [r for b in best.batches() for r in b.to_pylist()]
+    want = [(q, int(o)) for q in range(5) for o in np.lexsort((np.arange(3000), -scores[q]))[:10]]
+    assert [(r["query_id"], r["ord"]) for r in got] == want and all(r["title"] == f"t{r['ord']}" for r in got)
+
+
 def test_cells_recall(spark):
     from quern.plans.queries import ann_ivf_topk, vector_topk_ip
 
