@@ -1,8 +1,10 @@
 """Text functions, stems, sections and chunks against hand-derived values."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import stem
 from quern.functions import text as X
 from quern.functions.stem import porter, stem_terms
 from quern.operators import chunks, sections
@@ -23,6 +25,14 @@ def test_stems_of_terms_once_each(spark):
     assert {tuple(r) for r in stem_terms(x).collect()} == {("cats", "cat"), (None, None)}
 
 
+def test_a_word_is_stemmed_once_a_slice(monkeypatch):
+    seen = []
+    monkeypatch.setattr(stem, "porter", lambda w: seen.append(w) or porter(w))
+    lists = pa.array([["cats", "dogs", "cats"], None, [], ["cats"], ["running", None]])
+    assert stem._stem_all.func(lists).to_pylist() == [["cat", "dog", "cat"], None, [], ["cat"], ["run", None]]
+    assert sorted(seen) == ["cats", "dogs", "running"]
+
+
 def test_words(spark):
     t = "I cannot  re-use\tthe 3 Été gonna don't."
     assert one(spark, X.words("t"), t=t) == ["i", "can", "not", "reuse", "the", "t", "gon", "na", "dont"]
