@@ -91,7 +91,7 @@ def bm25_corpus_stats(spark, d):
 
 def bm25_all_scores_by_doc(spark, d):
     slices = _slices(spark, d, 500)
-    x = topk.by_document(bm25.all_scores(_index(spark, d, slices), _asked(spark, d)))
+    x = bm25.scores_by_document(_index(spark, d, slices), _asked(spark, d))
     return x.select("query_id", "doc_id", F.size("chunks").cast("long").alias("n_chunks"), (F.round(F.array_max(F.transform("chunks", lambda c: c["score"])), 6) + 0.0).alias("best"))
 
 
