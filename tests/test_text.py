@@ -1,5 +1,6 @@
 """Text functions, stems, sections and chunks against hand-derived values."""
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,18 @@ def test_packing(text, want):
     assert chunks.pack(text, 5) == want
 
 
+def test_texts_are_packed_some_at_a_time():
+    held = []
+    got = chunks._mapped(pa.array(["a b c", None] * 300), lambda c: held.append(c) or chunks.pack(c, 2), pa.list_(pa.string()))
+    assert got.to_pylist() == [["a b", "c"], []] * 300 and len(held) == 600
+
+
+def test_pages_are_parsed_some_at_a_time():
+    pages = pd.DataFrame({"k": range(600), "html": ["<h1>T</h1><p>a</p>"] * 600})
+    got = list(sections._parsed(iter([pages]), ["k"], "html"))
+    assert [len(x) for x in got] == [256, 256, 88] and [k for x in got for k in x["k"]] == list(range(600))
+
+
 def paths(markup):
     return [" > ".join([*s["path"], s["title"]]) for s in sections.sections(markup)[1]]
 
