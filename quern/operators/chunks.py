@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,8 @@ from quern.functions.stem import stem_tokens
 
 #: Words of a chunk, unless configured.
 MAX_WORDS = 1000
+#: Texts that a worker takes apart at once.
+ROWS = 256
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -64,12 +66,18 @@ def pack(content: str | None, most: int = MAX_WORDS) -> list[str]:
     return out
 
 
+def _mapped(values: pa.Array, of, kind: pa.DataType) -> pa.Array:
+    """of() of each value; a few become Python objects at a time, the rest stays in Arrow."""
+    parts = [pa.array([of(v) for v in values.slice(i, ROWS).to_pylist()], kind) for i in range(0, len(values), ROWS)]
+    return pa.concat_arrays(parts or [pa.array([], kind)])
+
+
 def pack_chunks(content: Column | str, most: int = MAX_WORDS) -> Column:
     """pack() over a column: an array of chunks; a fold whose order matters, so it runs in Arrow batches."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: pack(c, most))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(contents: pa.Array) -> pa.Array:
+        return _mapped(contents, lambda c: pack(c, most), pa.list_(pa.string()))
 
     return run(F.col(content) if isinstance(content, str) else content)
 
@@ -77,9 +85,9 @@ def pack_chunks(content: Column | str, most: int = MAX_WORDS) -> Column:
 def pack_lists(contents: Column, most: int = MAX_WORDS) -> Column:
     """pack() over each of an array of contents."""
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda cs: [pack(c, most) for c in cs], na_action="ignore")
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def run(lists: pa.Array) -> pa.Array:
+        return _mapped(lists, lambda cs: None if cs is None else [pack(c, most) for c in cs], pa.list_(pa.list_(pa.string())))
 
     return run(contents)
 
