@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.stem import stem_tokens
+from quern.operators import term_sums
 from quern.operators.bm25 import term_frequencies
 from quern.operators.sizes import small
+from quern.operators.term_sums import OWN
 
 #: Word vectors that are broadcast at most.
 WORDS = 50_000
@@ -53,8 +55,7 @@ def means(counts: DataFrame, words: DataFrame, idf: DataFrame | None, width: int
         x = x.join(idf.select("term", "idf"), "term", "left")
         by = by * F.col("tf") / F.col("dl") * F.coalesce("idf", F.lit(1.0))
     x = x.select("ord", "term", by.alias("by"))
-    sums = _summed(x, words, width) if small(words, WORDS) else _joined(x, words, width)
-    sums = sums.select("ord", V.unit("vec").alias("vec"))
+    sums = _joined(x, words, width).select("ord", V.unit("vec").alias("vec"))
     return keys.join(sums, "ord", "left").withColumn("vec", F.coalesce("vec", F.array(*[F.lit(0.0)] * width)))
 
 
@@ -65,41 +66,34 @@ def _joined(x: DataFrame, words: DataFrame, width: int) -> DataFrame:
     return sums.select("ord", F.array(*(F.col(f"d{i}") for i in range(width))).alias("vec"))
 
 
-def _summed(x: DataFrame, words: DataFrame, width: int) -> DataFrame:
-    """The same with the table, WORDS rows at most, as a matrix on every executor: only (ord, term, by) is shuffled."""
+def _products(texts: DataFrame, words: DataFrame, idf: DataFrame | None, width: int) -> DataFrame:
+    """means() for tables of WORDS words at most, as a matrix on every executor: texts (terms, dl, ord, ...) move nowhere."""
     held = words.select("term", F.slice(F.col("vec").cast("array<float>"), 1, width).alias("v")).where(F.size("v") == width).toArrow()
+    terms = held.column("term").combine_chunks()
     matrix = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    sent = words.sparkSession.sparkContext.broadcast((held.column("term").to_pylist(), matrix))
+    by = None
+    if idf is not None:
+        known = {r["term"]: r["idf"] for r in idf.join(F.broadcast(words.select("term")), "term", "left_semi").select("term", "idf").collect()}
+        by = np.array([known.get(w, 1.0) for w in terms.to_pylist()], np.float64)
+    sent = words.sparkSession.sparkContext.broadcast((terms.to_pylist(), matrix, by))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, table = sent.value
-        at = {w: i for i, w in enumerate(terms)}
-        held, last = None, None
+        terms, table, by = sent.value
+        terms = pa.array(terms, pa.string())
         for batch in batches:
-            place = np.array([at.get(w, -1) for w in batch.column(1).to_pylist()], np.int64)
-            some = place >= 0
-            if not some.any():
-                continue
-            ords, by = np.asarray(batch.column(0))[some], np.asarray(batch.column(2))[some]
-            begin = np.flatnonzero(np.concatenate([[True], ords[1:] != ords[:-1]]))
-            sums, ords = np.add.reduceat(by[:, None] * table[place[some]].astype(np.float64), begin, axis=0), ords[begin]
-            # a chunk can go on in the next batch
-            if held is not None and last == ords[0]:
-                sums[0] += held
-            elif held is not None:
-                ords, sums = np.concatenate([[last], ords]), np.concatenate([held[None], sums])
-            last, held = ords[-1], sums[-1]
-            if len(ords) > 1:
-                yield _rows(ords[:-1], sums[:-1])
-        if held is not None:
-            yield _rows(np.array([last]), held[None])
-
-    return x.repartition("ord").sortWithinPartitions("ord").mapInArrow(run, "ord long, vec array<double>")
-
-
-def _rows(ords: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(ords.astype(np.int64)), flat], ["ord", "vec"])
+            names, dl = batch.schema.names[2:], np.asarray(batch.column(1)).astype(np.float64)
+            for at, used, n in term_sums.counted(batch.column(0), None, terms, width):
+                if by is not None:
+                    n = n * n / np.maximum(dl[at : at + len(n)], 1.0)[:, None] * by[used]
+                sums = n @ table[used].astype(np.float64)
+                length = np.sqrt((sums**2).sum(axis=1))[:, None]
+                vec = pa.FixedSizeListArray.from_arrays(pa.array(np.divide(sums, length, out=sums, where=length > 0).ravel()), width).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(n)).columns[2:], vec], [*names, "vec"])
+
+    rest = [c for c in texts.columns if c not in ("terms", "dl", "ord")]
+    x = texts.select("terms", "dl", F.col("ord").cast("long").alias("ord"), *rest)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields[2:])
+    return x.mapInArrow(run, f"{fields}, vec array<double>")
 
 
 def build(chunks: DataFrame, words: DataFrame, width: int, *, weighted: bool = True, preprocess: bool = True) -> Index:
@@ -108,15 +102,30 @@ def build(chunks: DataFrame, words: DataFrame, width: int, *, weighted: bool = T
     Only words of the table are counted, others have no vector; their counts are kept for the idf and the means.
     """
     x = chunks.select("ord", "doc_id", "chunk_id", "title", X.tokens("content").alias("terms"))
-    n = chunks.count()
-    counts = term_frequencies(x, words).persist()
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", smoothed_idf(n, "df"))
-    vectors = means(counts, words, idf if weighted else None, width, x.select("ord", "doc_id", "chunk_id", "title"))
-    return Index(vectors, idf, words, width, weighted, preprocess)
+    if not small(words, WORDS):
+        n = chunks.count()
+        counts = term_frequencies(x, words).persist()
+        idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", smoothed_idf(n, "df"))
+        vectors = means(counts, words, idf if weighted else None, width, x.select("ord", "doc_id", "chunk_id", "title"))
+        return Index(vectors, idf, words, width, weighted, preprocess)
+    x, vocabulary = x.select("*", F.size("terms").alias("dl")), words.select("term").distinct()
+    if small(words, term_sums.WANTED):
+        wanted = sorted(r["term"] for r in vocabulary.where("term is not null").collect())
+        x = x.withColumn("terms", term_sums.only("terms", wanted))
+        # texts are read again for the vectors only where they are weighted
+        x, vocabulary = x.persist() if weighted else x, None
+    counts = term_sums.spread_counts(x, vocabulary).persist()
+    # plain means need no terms counted
+    n = counts.where(F.col("term") == OWN).agg(F.sum("df")).first()[0] or 0 if weighted else chunks.count()
+    idf = counts.where(F.col("term") != OWN).select("term", "df").withColumn("idf", smoothed_idf(n, "df"))
+    return Index(_products(x, words, idf if weighted else None, width), idf, words, width, weighted, preprocess)
 
 
 def encode_queries(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, vec) of (query_id, question)."""
     x = queries.select(F.col("query_id").alias("ord"), query_terms("question", index.preprocess).alias("terms"))
+    if small(index.words, WORDS):
+        out = _products(x.select("terms", F.size("terms").alias("dl"), "ord"), index.words, index.idf if index.weighted else None, index.width)
+        return out.select(F.col("ord").alias("query_id"), "vec")
     out = means(term_frequencies(x), index.words, index.idf if index.weighted else None, index.width, x.select("ord"))
     return out.select(F.col("ord").alias("query_id"), "vec")

@@ -39,6 +39,35 @@ def test_bm25_scores(spark, corpus):
     assert bm25.search(bm25.build(corpus.limit(0)), q, 2).count() == 0
 
 
+def test_bm25_search_joins_nothing(spark, corpus):
+    index = bm25.build(corpus, vocabulary=spark.createDataFrame([("cat",), ("bird",)], "term string"))
+    found = bm25.search(index, asked(spark, ["cat"], ["bird", "cow"]), 2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["ord"] for r in found.orderBy("query_id", "rank").collect()] == [0, 1, 2, 0]
+
+
+def test_scores_by_document_are_those_of_all_chunks(spark, corpus):
+    q = asked(spark, ["cat", "dog"], ["fish"], [])
+    index = bm25.build(corpus)
+    rows = lambda x: {(r["query_id"], r["doc_id"]): [(c["chunk_id"], round(c["score"], 9), c["title"]) for c in r["chunks"]] for r in x.collect()}
+    assert rows(bm25.scores_by_document(index, q)) == rows(topk.by_document(bm25.all_scores(index, q)))
+
+
+def test_postings_of_a_bucket_are_dealt_to_tasks(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 1, raising=False)
+    c = spark.createDataFrame([(i, i, 0, "", "cat") for i in range(200)], NAMES)
+    tables.save_bm25(bm25.build(c), str(tmp_path / "index"), 1)
+    assert len(list((tmp_path / "index" / "postings").glob("*/*.parquet"))) > 1
+    assert tables.load_bm25(spark, str(tmp_path / "index")).postings.count() == 200
+
+
+def test_vectors_of_texts_move_nothing(spark, corpus):
+    words = spark.createDataFrame([("cat", [1.0, 0.0]), ("dog", [0.0, 1.0])], "term string, vec array<float>")
+    index = word_vectors.build(corpus, words, 2, weighted=False)
+    assert "Exchange" not in index.vectors._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose([r["vec"] for r in index.vectors.orderBy("ord").collect()], [(2 / 5**0.5, 1 / 5**0.5), (0, 1), (0, 0)])
+
+
 def test_bm25_saved_and_loaded(spark, corpus, tmp_path):
     path = str(tmp_path / "index")
     build = lambda: bm25.build(corpus, k1=1.2, epsilon=0.1)
@@ -154,6 +183,12 @@ def test_batch_of_questions(spark, corpus):
     assert out[0]["predicted_docs"] == [10, 11] and out[1]["predicted_docs"] == [11, 10] and out[1]["prompt"].startswith("Context: bird")
 
 
+def test_only_found_texts_are_brought_together(spark, corpus):
+    q = spark.createDataFrame([(0, "cats")], "query_id long, question string")
+    x = retrieval.answer_batch(retrieval.bm25_documents(bm25.build(corpus), q, 1), q, corpus)
+    assert "LeftSemi" in x._jdf.queryExecution().optimizedPlan().toString() and x.first()["prompt"].startswith("Context: cat dog cat")
+
+
 def test_json_lines(spark, tmp_path):
     p = tmp_path / "in.jsonl"
     p.write_text('{"document_id": 7, "document_text": "<h1>T</h1><p>a b</p>"}\n\n{"document_text": "x"}\n{"document_id": 9}\n{bad\n')
