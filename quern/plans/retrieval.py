@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.operators import answers, bm25, chunks, metrics, sections, topk, vector_search, word_vectors
+from quern.operators.sizes import broadcast_if_small
 
 MODES = ("bm25", "word2vec", "dense")
 
@@ -29,13 +30,18 @@ def bm25_hits(index: bm25.Index, questions: DataFrame, k: int = 3) -> DataFrame:
 
 
 def vector_hits(index: word_vectors.Index, questions: DataFrame, k: int = 3) -> DataFrame:
-    found = vector_search.search(index.vectors, word_vectors.encode_queries(index, questions), k, index.width)
-    return bm25.located(found, index.vectors)
+    x = vector_search.search(_listed(index.vectors), word_vectors.encode_queries(index, questions), k, index.width)
+    return x.select("query_id", "rank", "ord", "doc_id", "chunk_id", "score", "title")
+
+
+def _listed(vectors: DataFrame) -> DataFrame:
+    return vectors.select("ord", "vec", "doc_id", "chunk_id", "title")
 
 
 def dense_hits(index: DataFrame, encoded: DataFrame, width: int, k: int = 3) -> DataFrame:
     """The k best of (ord, doc_id, chunk_id, title, vec) for (query_id, vec); vectors come from a plug-in encoder."""
-    return bm25.located(vector_search.search(index, encoded, k, width), index)
+    x = vector_search.search(_listed(index), encoded, k, width)
+    return x.select("query_id", "rank", "ord", "doc_id", "chunk_id", "score", "title")
 
 
 def bm25_documents(index: bm25.Index, questions: DataFrame, k: int = 5, candidates: int = 50) -> DataFrame:
@@ -57,9 +63,13 @@ def hybrid_documents(vectors: DataFrame, texts: DataFrame, asked: DataFrame, wid
 
 def answer_batch(hits: DataFrame, questions: DataFrame, originals: DataFrame, model=None) -> DataFrame:
     """(query_id, question, predicted_docs, contexts, prompt, answer, status) for each question; answers by a plug-in."""
+    # a few rows a question, used three times
+    hits = hits.persist()
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda h: h["doc_id"])
     lists = hits.groupBy("query_id").agg(ids.alias("predicted_docs"))
-    found = answers.with_contents(hits, answers.last_by_key(originals))
+    # only texts that were found are brought together
+    keys = hits.select("doc_id", "chunk_id").distinct()
+    found = answers.with_contents(hits, answers.last_by_key(originals.join(broadcast_if_small(keys), ["doc_id", "chunk_id"], "left_semi")))
     x = questions.join(lists, "query_id", "left").join(answers.contexts(found), "query_id", "left")
     return answers.answered(x, model)
 
