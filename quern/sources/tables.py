@@ -12,10 +12,17 @@ from quern.operators import bm25, word_vectors
 from quern.sources.jsonl import exists
 
 
+#: Postings that a task sorts, about.
+ROWS = 1_000_000
+
+
 def save_bm25(index: bm25.Index, path: str, buckets: int = 64) -> None:
     """Postings are laid out by a hash of their term; a search over some terms loads their buckets only."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    index.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # a bucket's postings are dealt to several tasks, so that none sorts more than about ROWS
+    total = index.terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64("ord"), F.lit(total // (16 * ROWS) + 1))
+    index.postings.withColumn("bucket", bucket).repartition(max(buckets, total // ROWS), "bucket", part).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     index.terms.write.parquet(f"{path}/terms")
     index.chunks.write.parquet(f"{path}/chunks")
     spark = index.terms.sparkSession
