@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions import letters
 from quern.functions import text as X
 from quern.functions.stem import stem_tokens
 
@@ -117,10 +119,17 @@ def chunk_texts(docs: DataFrame, most: int = MAX_WORDS, doc: str = "doc_id", tex
 
 
 def slice_texts(docs: DataFrame, most: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, chunk_id, content): runs of `most` words, all native."""
-    # a column of its own, or the text would be split anew for every slice
-    x = docs.select(doc, X.tokens(text).alias("_w")).select(doc, F.posexplode(X.slices(F.col("_w"), most)).alias("chunk_id", "w"))
-    return x.select(doc, "chunk_id", F.array_join("w", " ").alias("content"))
+    """(doc, chunk_id, content): runs of `most` words, cut in Arrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in letters.parts(batch.column(1)):
+                row, number, content = letters.slices(part, most)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(number.astype("int32")), content], [doc, "chunk_id", "content"])
+                at += len(part)
+
+    return docs.select(doc, text).mapInArrow(run, f"`{doc}` {dict(docs.dtypes)[doc]}, chunk_id int, content string")
 
 
 def nested(chunks: DataFrame, content: str = "content", doc: str = "document_id") -> DataFrame:

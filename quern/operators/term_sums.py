@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import letters
+
 #: Cells of a matrix in memory at most.
 CELLS = 1_048_576
 #: Wanted terms up to which texts are cut to them before they are kept.
@@ -18,18 +20,54 @@ WANTED = 5_000
 OWN = ""
 
 
-def only(terms: str, wanted: list[str]) -> Column:
-    """The terms that are wanted, in order and with their repeats."""
-    return F.filter(terms, lambda t: t.isin(*wanted) if wanted else F.lit(False))
+def read(texts: DataFrame, words: Callable[[pa.Array], pa.ListArray], wanted: list[str] | None = None) -> DataFrame:
+    """texts (content, ...) with `terms`, their words in order and with repeats, in place of the content, and `dl`, how many they are.
+
+    `words` takes a slice of letters.parts() apart.  With `wanted` only those are kept; dl still counts all.
+    """
+    rest = [c for c in texts.columns if c != "content"]
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = None if sent.value is None else pa.array(sent.value, pa.string())
+        for batch in batches:
+            at = 0
+            for part in letters.parts(batch.column(0)):
+                terms = words(part)
+                dl = terms.value_lengths()
+                if some is not None:
+                    keep = pc.is_in(terms.values, value_set=some)
+                    ends = np.append(0, np.cumsum(keep.to_numpy(zero_copy_only=False)))[terms.offsets.to_numpy()]
+                    terms = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), terms.values.filter(keep))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns[1:], terms, dl], [*rest, "terms", "dl"])
+                at += len(part)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*rest).schema.fields)
+    return texts.select("content", *rest).mapInArrow(run, f"{fields}, terms array<string>, dl int")
 
 
 def spread_counts(texts: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
-    """(term, df, total) of rows (terms, dl): texts that hold the term and their length in all; OWN stands for every text."""
-    x = texts.select("dl", F.explode(F.array_append(F.array_distinct("terms"), F.lit(OWN))).alias("term"))
+    """(term, df, total) of rows (terms, dl): texts that hold the term and their length in all; OWN stands for every text.
+
+    A batch of texts gives one row for each term in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dl = np.asarray(batch.column(1)).astype(np.int64)
+            row = np.repeat(np.arange(len(dl)), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            terms = batch.column(0).flatten().dictionary_encode()
+            most = max(1, len(terms.dictionary))
+            row, term = np.divmod(np.unique(row * most + terms.indices.to_numpy()), most)
+            df, total = (np.bincount(term, by, len(terms.dictionary)).astype(np.int64) for by in (None, dl[row]))
+            names = pa.concat_arrays([terms.dictionary, pa.array([OWN])])
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.append(df, len(dl))), pa.array(np.append(total, dl.sum()))], ["term", "df", "total"])
+
+    x = texts.select("terms", "dl").mapInArrow(run, "term string, df long, total long")
     if vocabulary is not None:
         own = texts.sparkSession.createDataFrame([(OWN,)], "term string")
         x = x.join(F.broadcast(vocabulary.select("term").unionByName(own).distinct()), "term", "left_semi")
-    return x.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"))
+    return x.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
 def counted(terms: pa.ListArray, tfs: pa.ListArray | None, vocabulary: pa.Array, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import letters
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.stem import stem_tokens
@@ -96,24 +97,27 @@ def _products(texts: DataFrame, words: DataFrame, idf: DataFrame | None, width:
     return x.mapInArrow(run, f"{fields}, vec array<double>")
 
 
-def build(chunks: DataFrame, words: DataFrame, width: int, *, weighted: bool = True, preprocess: bool = True) -> Index:
-    """The vectors of (ord, doc_id, chunk_id, title, content), whose contents are split at white space.
+def build(chunks: DataFrame, words: DataFrame, width: int, *, weighted: bool = True, preprocess: bool = True, apart: Callable[[pa.Array], pa.ListArray] = letters.tokens) -> Index:
+    """The vectors of (ord, doc_id, chunk_id, title, content), whose contents are split at white space unless `apart`, a function of letters.py, does it.
 
     Only words of the table are counted, others have no vector; their counts are kept for the idf and the means.
     """
-    x = chunks.select("ord", "doc_id", "chunk_id", "title", X.tokens("content").alias("terms"))
+    x = chunks.select("ord", "doc_id", "chunk_id", "title", "content")
     if not small(words, WORDS):
         n = chunks.count()
+        x = term_sums.read(x, apart)
         counts = term_frequencies(x, words).persist()
         idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", smoothed_idf(n, "df"))
         vectors = means(counts, words, idf if weighted else None, width, x.select("ord", "doc_id", "chunk_id", "title"))
         return Index(vectors, idf, words, width, weighted, preprocess)
-    x, vocabulary = x.select("*", F.size("terms").alias("dl")), words.select("term").distinct()
+    vocabulary = words.select("term").distinct()
     if small(words, term_sums.WANTED):
         wanted = sorted(r["term"] for r in vocabulary.where("term is not null").collect())
-        x = x.withColumn("terms", term_sums.only("terms", wanted))
+        x = term_sums.read(x, apart, wanted)
         # texts are read again for the vectors only where they are weighted
         x, vocabulary = x.persist() if weighted else x, None
+    else:
+        x = term_sums.read(x, apart)
     counts = term_sums.spread_counts(x, vocabulary).persist()
     # plain means need no terms counted
     n = counts.where(F.col("term") == OWN).agg(F.sum("df")).first()[0] or 0 if weighted else chunks.count()

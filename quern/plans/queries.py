@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import letters
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.stopwords import ENGLISH
@@ -39,7 +40,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 def _index(spark: SparkSession, d: str, corpus: DataFrame | None = None) -> bm25.Index:
     """An index of the questions' terms over all documents."""
     vocabulary = _asked(spark, d).select(F.explode("terms").alias("term")).distinct()
-    return bm25.build(_corpus(spark, d) if corpus is None else corpus, vocabulary=vocabulary, terms=_plain("content"))
+    return bm25.build(_corpus(spark, d) if corpus is None else corpus, vocabulary=vocabulary, words=letters.letter_words)
 
 
 def _slices(spark: SparkSession, d: str, size: int) -> DataFrame:
@@ -146,8 +147,8 @@ def _word_table(spark, d) -> DataFrame:
 
 
 def vector_weighted_mean(spark, d):
-    c = _t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.lit(0).alias("chunk_id"), F.lit("").alias("title"), X.squash(X.letters_only("text")).alias("content"))
-    x = word_vectors.build(c, _word_table(spark, d), WIDTH).vectors
+    c = _t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.lit(0).alias("chunk_id"), F.lit("").alias("title"), F.col("text").alias("content"))
+    x = word_vectors.build(c, _word_table(spark, d), WIDTH, apart=letters.letter_words).vectors
     return x.select("doc_id", F.posexplode("vec").alias("dim", "value")).select("doc_id", F.col("dim").cast("long").alias("dim"), _r("value"))
 
 

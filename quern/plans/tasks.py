@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import stem
+from quern.functions import letters, stem
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.stopwords import ENGLISH
@@ -39,8 +39,8 @@ def _asked(spark, d) -> DataFrame:
 
 
 def _whole(spark, d) -> DataFrame:
-    """Cleaned documents as chunks, one each."""
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("ord"), "doc_id", F.lit(0).alias("chunk_id"), F.lit("").alias("title"), chunks.clean("text").alias("content"))
+    """Documents as chunks, one each; letters.stemmed cleans them where they are taken apart."""
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("ord"), "doc_id", F.lit(0).alias("chunk_id"), F.lit("").alias("title"), F.col("text").alias("content"))
 
 
 def _sliced_docs(spark, d) -> DataFrame:
@@ -54,7 +54,7 @@ def _wanted(spark, d) -> DataFrame:
 
 
 def _bm25_index(spark, d, corpus: DataFrame) -> bm25.Index:
-    return bm25.build(corpus, vocabulary=_wanted(spark, d))
+    return bm25.build(corpus, vocabulary=_wanted(spark, d), words=letters.stemmed)
 
 
 def _words(spark, d) -> DataFrame:
@@ -65,6 +65,10 @@ def _words(spark, d) -> DataFrame:
     return spark.createDataFrame([(t, i % n) for i, t in enumerate(terms)], "term string, vec_id long").join(e, "vec_id").select("term", F.col("embedding").alias("vec"))
 
 
+def _vectors(spark, d, corpus: DataFrame) -> word_vectors.Index:
+    return word_vectors.build(corpus, _words(spark, d), WIDTH, apart=letters.stemmed)
+
+
 def stem_terms(spark, d):
     return stem.stem_terms(_t(spark, d, "documents").select(F.explode(X.letter_words("text")).alias("term")))
 
@@ -87,23 +91,21 @@ def _batch(hits: DataFrame, spark, d) -> DataFrame:
 
 def qa_batch_bm25(spark, d):
     """All questions to five documents each, prompts and answers (no model)."""
-    corpus = _sliced_docs(spark, d).withColumn("content", chunks.clean("content"))
-    return _batch(retrieval.bm25_documents(_bm25_index(spark, d, corpus), _asked(spark, d), 5, 50), spark, d)
+    return _batch(retrieval.bm25_documents(_bm25_index(spark, d, _sliced_docs(spark, d)), _asked(spark, d), 5, 50), spark, d)
 
 
 def retrieve_vectors(spark, d):
-    x = retrieval.vector_hits(word_vectors.build(_whole(spark, d), _words(spark, d), WIDTH), _asked(spark, d), 3)
+    x = retrieval.vector_hits(_vectors(spark, d, _whole(spark, d)), _asked(spark, d), 3)
     return x.select("query_id", "rank", "doc_id", _r("score"))
 
 
 def qa_batch_vectors(spark, d):
-    corpus = _sliced_docs(spark, d).withColumn("content", chunks.clean("content"))
-    return _batch(retrieval.vector_documents(word_vectors.build(corpus, _words(spark, d), WIDTH), _asked(spark, d), 5), spark, d)
+    return _batch(retrieval.vector_documents(_vectors(spark, d, _sliced_docs(spark, d)), _asked(spark, d), 5), spark, d)
 
 
 def vector_plain_mean(spark, d):
     """Unweighted means of the words' vectors."""
-    x = word_vectors.build(_whole(spark, d), _words(spark, d), WIDTH, weighted=False).vectors
+    x = word_vectors.build(_whole(spark, d), _words(spark, d), WIDTH, weighted=False, apart=letters.stemmed).vectors
     return x.select("doc_id", F.posexplode("vec").alias("dim", "value")).select("doc_id", F.col("dim").cast("long").alias("dim"), _r("value"))
 
 
@@ -178,7 +180,7 @@ def bm25_index_round_trip(spark, d):
 
 def vector_index_round_trip(spark, d):
     path, words = _place(spark), _words(spark, d)
-    tables.save_vectors(word_vectors.build(_whole(spark, d), words, WIDTH), path)
+    tables.save_vectors(word_vectors.build(_whole(spark, d), words, WIDTH, apart=letters.stemmed), path)
     return retrieval.vector_hits(tables.load_vectors(spark, path, words), _asked(spark, d), 3).select("query_id", "rank", "doc_id", _r("score"))
 
 
