@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import text as X
+from quern.operators.sizes import broadcast_if_small
 
 #: Chunks that the answering model gets.
 CONTEXTS = 3
@@ -38,9 +39,10 @@ def document_text(title: Column | str, chunks: Column | str) -> Column:
 
 
 def with_contents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits that have a chunk, with its `content` and `chunk_title`."""
+    """Hits that have a chunk, with its `content` and `chunk_title`.  Hits are counted first; texts move only where there are many."""
     c = chunks.select("doc_id", "chunk_id", "content", F.col("title").alias("chunk_title"))
-    return hits.join(c, ["doc_id", "chunk_id"])
+    # counted, then joined: a few rows a question are kept, so that they are searched once
+    return broadcast_if_small(hits.persist()).join(c, ["doc_id", "chunk_id"])
 
 
 def contexts(hits: DataFrame, most: int = CONTEXTS, query: str = "query_id") -> DataFrame:
