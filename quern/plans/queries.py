@@ -11,8 +11,7 @@ from quern.functions import letters
 from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.stopwords import ENGLISH
-from quern.operators import answers, bm25, chunks, metrics, sections, topk, vector_search, word_vectors
-from quern.operators.sizes import broadcast_if_small
+from quern.operators import answers, bm25, chunks, metrics, passages, sections, topk, vector_search, word_vectors
 from quern.session import ship, spread
 
 WIDTH = 64
@@ -50,18 +49,8 @@ def _slices(spark: SparkSession, d: str, size: int) -> DataFrame:
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """For each benchmark item the first document that contains it: (query_id, wanted)."""
-    items, docs = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), _t(spark, d, "documents").select("doc_id", "text")
-    # four whole words inside the item must stand in the text; they are joined by hash, then all of it is compared
-    hashes = lambda c: F.transform(X.tokens(c), lambda w: F.xxhash64(w))
-    run = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(4)))
-    items = items.withColumn("_h", hashes("item"))
-    keyed = broadcast_if_small(items.where(F.size("_h") >= 6).select("item_id", "item", run(F.col("_h"), F.lit(1)).alias("_key")))
-    x = docs.withColumn("_w", hashes("text")).where(F.size("_w") >= 4)
-    x = x.select("doc_id", "text", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 4)).alias("_at")).withColumn("_key", run(F.col("_w"), F.col("_at")))
-    pairs = x.join(keyed, "_key").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
-    # items of fewer words have no such run; there are few
-    short = docs.join(broadcast_if_small(items.where(F.size("_h") < 6)), F.contains("text", F.col("item"))).select("item_id", "doc_id")
-    return pairs.unionByName(short).groupBy(F.col("item_id").alias("query_id")).agg(F.min("doc_id").alias("wanted"))
+    items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    return passages.first_holding(items, _t(spark, d, "documents").select("doc_id", "text")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("wanted"))
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
