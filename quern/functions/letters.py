@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quern.functions.stem import porter
+from quern.functions.stem import IRREGULAR, porter
 from quern.functions.stopwords import ENGLISH
 from quern.functions.text import CONTRACTIONS
 
@@ -114,6 +114,48 @@ def stemmed(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends[lists.offsets.to_numpy()].astype(np.int32)), each.flatten())
 
 
+class Wanted:
+    """Words that are looked for, with their places, and how a word must begin for porter() to make one of them of it."""
+
+    def __init__(self, words: list[str]):
+        self.words = pa.array(words, pa.string())
+        self.at = {w: i for i, w in reversed(list(enumerate(words)))}
+        # a stem begins as its word does; only its third letter can be another, an e or i put there
+        self.begins = pa.array(sorted({w[:2] if len(w) < 3 or w[2] in "ei" else w[:3] for w in words}), pa.string())
+
+
+#: Words whose stems are known whole.
+_OWN = pa.array([*CONTRACTIONS, *IRREGULAR])
+
+
+def places(words: Callable[[pa.Array], pa.ListArray], texts: pa.Array, wanted: Wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words() of a slice of parts(), as far as they are wanted: for each its text's row and its place; and how many words each text has in all.
+
+    Of stemmed() only words are stemmed that can become a wanted one.
+    """
+    lists = _lists(texts, True) if words is stemmed else words(texts)
+    row, dl = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.value_lengths().to_numpy()
+    if words is not stemmed:
+        place = pc.index_in(lists.flatten(), value_set=wanted.words).fill_null(-1).to_numpy()
+        return row[place >= 0], place[place >= 0], dl
+    coded = lists.flatten().dictionary_encode()
+    names, index = coded.dictionary, coded.indices.to_numpy()
+    near = pc.is_in(names, value_set=_OWN)
+    for n in (1, 2, 3):
+        near = pc.or_(near, pc.is_in(pc.utf8_slice_codeunits(names, 0, n), value_set=wanted.begins))
+    # a word is one stem, or none as a stop word; a contraction is up to two
+    size = (~pc.is_in(names, value_set=pa.array(ENGLISH)).to_numpy(zero_copy_only=False)).astype(np.int64)
+    place = np.full((2, len(names)), -1, np.int32)
+    at = np.flatnonzero(near.to_numpy(zero_copy_only=False))
+    for i, word in zip(at, names.take(pa.array(at)).to_pylist(), strict=True):
+        stems = _stems(word)
+        size[i] = len(stems)
+        place[: len(stems), i] = [wanted.at.get(s, -1) for s in stems]
+    dl = np.bincount(row, size[index], len(lists)).astype(np.int32)
+    found = [np.flatnonzero(p[index] >= 0) for p in place]
+    return np.concatenate([row[f] for f in found]), np.concatenate([p[index[f]] for p, f in zip(place, found, strict=True)]), dl
+
+
 def slices(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Runs of `size` tokens, one blank between them: for each its text's place in the slice of parts(), its number there, and what it says."""
     lists = tokens(texts)

@@ -67,8 +67,11 @@ def _joined(x: DataFrame, words: DataFrame, width: int) -> DataFrame:
     return sums.select("ord", F.array(*(F.col(f"d{i}") for i in range(width))).alias("vec"))
 
 
-def _products(texts: DataFrame, words: DataFrame, idf: DataFrame | None, width: int) -> DataFrame:
-    """means() for tables of WORDS words at most, as a matrix on every executor: texts (terms, dl, ord, ...) move nowhere."""
+def _products(texts: DataFrame, words: DataFrame, idf: DataFrame | None, width: int, wanted: list[str] | None = None) -> DataFrame:
+    """means() for tables of WORDS words at most, as a matrix on every executor: texts (terms, dl, ord, ...) move nowhere.
+
+    With `wanted` terms are places in it, with `tfs`.
+    """
     held = words.select("term", F.slice(F.col("vec").cast("array<float>"), 1, width).alias("v")).where(F.size("v") == width).toArrow()
     terms = held.column("term").combine_chunks()
     matrix = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -76,24 +79,24 @@ def _products(texts: DataFrame, words: DataFrame, idf: DataFrame | None, width:
     if idf is not None:
         known = {r["term"]: r["idf"] for r in idf.join(F.broadcast(words.select("term")), "term", "left_semi").select("term", "idf").collect()}
         by = np.array([known.get(w, 1.0) for w in terms.to_pylist()], np.float64)
-    sent = words.sparkSession.sparkContext.broadcast((terms.to_pylist(), matrix, by))
+    sent = words.sparkSession.sparkContext.broadcast((terms.to_pylist(), matrix, by, term_sums.moved(wanted, terms.to_pylist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, table, by = sent.value
+        terms, table, by, to = sent.value
         terms = pa.array(terms, pa.string())
         for batch in batches:
-            names, dl = batch.schema.names[2:], np.asarray(batch.column(1)).astype(np.float64)
-            for at, used, n in term_sums.counted(batch.column(0), None, terms, width):
+            names, dl = batch.schema.names[3:], np.asarray(batch.column(2)).astype(np.float64)
+            for at, used, n in term_sums.counted(batch.column(0), None if to is None else batch.column(1), terms, width, to):
                 if by is not None:
                     n = n * n / np.maximum(dl[at : at + len(n)], 1.0)[:, None] * by[used]
                 sums = n @ table[used].astype(np.float64)
                 length = np.sqrt((sums**2).sum(axis=1))[:, None]
                 vec = pa.FixedSizeListArray.from_arrays(pa.array(np.divide(sums, length, out=sums, where=length > 0).ravel()), width).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(n)).columns[2:], vec], [*names, "vec"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(n)).columns[3:], vec], [*names, "vec"])
 
-    rest = [c for c in texts.columns if c not in ("terms", "dl", "ord")]
-    x = texts.select("terms", "dl", F.col("ord").cast("long").alias("ord"), *rest)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields[2:])
+    rest = [c for c in texts.columns if c not in ("terms", "tfs", "dl", "ord")]
+    x = texts.select("terms", F.lit(None).cast("array<int>").alias("tfs") if wanted is None else "tfs", "dl", F.col("ord").cast("long").alias("ord"), *rest)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields[3:])
     return x.mapInArrow(run, f"{fields}, vec array<double>")
 
 
@@ -110,7 +113,7 @@ def build(chunks: DataFrame, words: DataFrame, width: int, *, weighted: bool = T
         idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", smoothed_idf(n, "df"))
         vectors = means(counts, words, idf if weighted else None, width, x.select("ord", "doc_id", "chunk_id", "title"))
         return Index(vectors, idf, words, width, weighted, preprocess)
-    vocabulary = words.select("term").distinct()
+    vocabulary, wanted = words.select("term").distinct(), None
     if small(words, term_sums.WANTED):
         wanted = sorted(r["term"] for r in vocabulary.where("term is not null").collect())
         x = term_sums.read(x, apart, wanted)
@@ -118,11 +121,11 @@ def build(chunks: DataFrame, words: DataFrame, width: int, *, weighted: bool = T
         x, vocabulary = x.persist() if weighted else x, None
     else:
         x = term_sums.read(x, apart)
-    counts = term_sums.spread_counts(x, vocabulary).persist()
+    counts = term_sums.spread_counts(x, vocabulary, wanted).persist()
     # plain means need no terms counted
     n = counts.where(F.col("term") == OWN).agg(F.sum("df")).first()[0] or 0 if weighted else chunks.count()
     idf = counts.where(F.col("term") != OWN).select("term", "df").withColumn("idf", smoothed_idf(n, "df"))
-    return Index(_products(x, words, idf if weighted else None, width), idf, words, width, weighted, preprocess)
+    return Index(_products(x, words, idf if weighted else None, width, wanted), idf, words, width, weighted, preprocess)
 
 
 def encode_queries(index: Index, queries: DataFrame) -> DataFrame:

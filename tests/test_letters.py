@@ -31,6 +31,26 @@ def test_words_are_those_of_the_columns(spark, monkeypatch, most):
     assert len(list(letters.parts(texts))) == 1 or most == 50
 
 
+def test_only_words_that_can_become_a_wanted_stem_are_stemmed(monkeypatch):
+    words = "cannot gonna dying lies flies abies using aging aby abying ebbing die rationalization relational skies ss ies ied aing oed".split()
+    texts = pa.array([*TEXTS, " ".join(words), "zzkw zzkw qqj the a zzkwing", "the a"], pa.string())
+    lists = letters.stemmed(texts).to_pylist()
+    asked, stem = [], letters.porter
+    monkeypatch.setattr(letters, "porter", lambda w: (asked.append(w), stem(w))[1])
+    for some in (sorted({s for x in lists for s in x}), ["i", "a", "eb", "us", "die", "use", "abi", "ration", "gon"], ["can", "can"], []):
+        asked.clear()
+        row, place, dl = letters.places(letters.stemmed, texts, letters.Wanted(some))
+        got = sorted((int(r), some[p]) for r, p in zip(row, place, strict=True))
+        assert got == sorted((r, s) for r, x in enumerate(lists) for s in x if s in some)
+        assert dl.tolist() == [len(x) for x in lists]
+        assert "zzkwing" not in asked or "zzkw" in some
+    for begin in "aeioubcdfsty":
+        for end in "s ies ied ing eed y ational enci izer bli alli entli eli ousli ization ator biliti logi icate ative ement ion e ll sses".split():
+            for word in (begin + end, begin + "b" + end, begin + "y" + end, "x" + begin + end):
+                some = letters.Wanted([stem(word)])
+                assert len(letters.places(letters.stemmed, pa.array([word]), some)[0]) == len(letters.stemmed(pa.array([word])).to_pylist()[0]), word
+
+
 def test_slices_hold_the_words_in_order(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(-1, " ".join(f"w{i}" for i in range(25)))], "doc_id long, text string")
     got = [(r["doc_id"], r["chunk_id"], r["content"]) for r in chunks.slice_texts(df, 2).collect()]

@@ -126,6 +126,21 @@ def test_the_best_of_blocks_are_those_of_all():
     assert [(r["query_id"], r["ord"]) for r in got] == want and all(r["title"] == f"t{r['ord']}" for r in got)
 
 
+def test_wanted_terms_are_kept_as_numbers(spark, corpus):
+    """An index holds of its texts two numbers a distinct wanted term, and gives what an index of all words gives."""
+    some, every = bm25.build(corpus, vocabulary=spark.createDataFrame([("cat",), ("dog",), ("zebra",)], "term string")), bm25.build(corpus)
+    kinds = dict(some.texts.dtypes)
+    assert (kinds["terms"], kinds["tfs"]) == ("array<int>", "array<int>")
+    assert some.texts.where("ord = 0").select("terms", "tfs", "dl").first() == ([0, 1], [2, 1], 3)
+    q = asked(spark, ["cat", "dog"], ["dog", "dog", "zebra"], ["zebra"])
+    listed = lambda x: sorted(map(tuple, x.collect()))
+    assert listed(bm25.search(some, q, 2)) == listed(bm25.search(every, q, 2))
+    assert listed(bm25.scores_by_document(some, q)) == listed(bm25.scores_by_document(every, q))
+    assert listed(some.postings) == listed(every.postings.where("term in ('cat', 'dog')"))
+    assert "Exchange" not in some.postings._jdf.queryExecution().sparkPlan().toString()
+    assert listed(some.terms) == listed(every.terms.where("term in ('cat', 'dog')"))
+
+
 def test_cells_recall(spark):
     from quern.plans.queries import ann_ivf_topk, vector_topk_ip
 
