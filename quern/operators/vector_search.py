@@ -71,7 +71,8 @@ def _multiplied(best: Best, vecs: np.ndarray, m: np.ndarray, rows: pa.RecordBatc
         query, row = best.cut(vecs.astype(np.float32) @ m.astype(np.float32).T, far * vecs.shape[1] * 2.0**-22)
     else:
         query, row = best.cut(vecs @ m.T)
-    score = np.concatenate([np.einsum("ij,ij->i", vecs[query[i : i + CELLS]], m[row[i : i + CELLS]]) for i in range(0, len(query), CELLS)] or [np.zeros(0)])
+    step = max(1, CELLS // vecs.shape[1])
+    score = np.concatenate([np.einsum("ij,ij->i", vecs[query[i : i + step]], m[row[i : i + step]]) for i in range(0, len(query), step)] or [np.zeros(0)])
     best.add(query, row, score, np.asarray(rows.column("ord")), rows)
 
 

@@ -13,6 +13,7 @@ from quern.functions import text as X
 from quern.functions import vectors as V
 from quern.functions.stopwords import ENGLISH
 from quern.operators import answers, bm25, chunks, sections, word_vectors
+from quern.operators.sizes import broadcast_if_small
 from quern.plans import retrieval
 from quern.plans.oracle import _DOT, _E, _WORDS, _sliced, _top
 from quern.plans.stem_sql import stems
@@ -62,7 +63,9 @@ def _words(spark, d) -> DataFrame:
     e = _t(spark, d, "embeddings")
     terms = sorted(r["term"] for r in _wanted(spark, d).collect())
     n = e.count()
-    return spark.createDataFrame([(t, i % n) for i, t in enumerate(terms)], "term string, vec_id long").join(e, "vec_id").select("term", F.col("embedding").alias("vec"))
+    dealt = spark.createDataFrame([(t, i % n) for i, t in enumerate(terms)], "term string, vec_id long")
+    # used many times; embeddings that no term has are not moved
+    return e.join(broadcast_if_small(dealt), "vec_id").select("term", F.col("embedding").alias("vec")).persist()
 
 
 def _vectors(spark, d, corpus: DataFrame) -> word_vectors.Index:

@@ -126,6 +126,16 @@ def test_the_best_of_blocks_are_those_of_all():
     assert [(r["query_id"], r["ord"]) for r in got] == want and all(r["title"] == f"t{r['ord']}" for r in got)
 
 
+def test_products_in_double_are_bounded(monkeypatch):
+    held, einsum = [], np.einsum
+    monkeypatch.setattr(vector_search, "CELLS", 64)
+    monkeypatch.setattr(np, "einsum", lambda s, a, b: (held.append(a.size), einsum(s, a, b))[1])
+    best, rows = topk.Best(np.arange(3), 2), pa.RecordBatch.from_arrays([pa.array(range(50))], ["ord"])
+    vector_search._multiplied(best, np.ones((3, 16)), np.ones((50, 16)), rows)
+    assert max(held) <= 64 and sum(held) == 3 * 50 * 16
+    assert best.ord.tolist() == [0, 1] * 3
+
+
 def test_wanted_terms_are_kept_as_numbers(spark, corpus):
     """An index holds of its texts two numbers a distinct wanted term, and gives what an index of all words gives."""
     some, every = bm25.build(corpus, vocabulary=spark.createDataFrame([("cat",), ("dog",), ("zebra",)], "term string")), bm25.build(corpus)
