@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quern.functions.stem import IRREGULAR, porter
+from quern.functions.stem import ENDS, IRREGULAR, porter
 from quern.functions.stopwords import ENGLISH
 from quern.functions.text import CONTRACTIONS
 
@@ -120,12 +120,13 @@ class Wanted:
     def __init__(self, words: list[str]):
         self.words = pa.array(words, pa.string())
         self.at = {w: i for i, w in reversed(list(enumerate(words)))}
-        # a stem begins as its word does; only its third letter can be another, an e or i put there
-        self.begins = pa.array(sorted({w[:2] if len(w) < 3 or w[2] in "ei" else w[:3] for w in words}), pa.string())
+        # a word begins with its stem, but for an i that was a y, an e put there, and ble or bl that was bili
+        begins = {w[: len(w) - n] for w in words for n in range(3) if n < len(w) and (n == 0 or w.endswith(("i", "e", "bl") if n == 1 else "ble"))}
+        self.begins = {n: pa.array(sorted(b for b in begins if len(b) == n), pa.string()) for n in sorted(set(map(len, begins)))}
 
 
-#: Words whose stems are known whole.
-_OWN = pa.array([*CONTRACTIONS, *IRREGULAR])
+#: Words whose stems are known whole, and how words end that aren't their own stems.
+_OWN, _ENDS = pa.array([*CONTRACTIONS, *IRREGULAR]), f"(?:{'|'.join(ENDS)})$"
 
 
 def places(words: Callable[[pa.Array], pa.ListArray], texts: pa.Array, wanted: Wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,13 +141,18 @@ def places(words: Callable[[pa.Array], pa.ListArray], texts: pa.Array, wanted: W
         return row[place >= 0], place[place >= 0], dl
     coded = lists.flatten().dictionary_encode()
     names, index = coded.dictionary, coded.indices.to_numpy()
-    near = pc.is_in(names, value_set=_OWN)
-    for n in (1, 2, 3):
-        near = pc.or_(near, pc.is_in(pc.utf8_slice_codeunits(names, 0, n), value_set=wanted.begins))
+    own = pc.is_in(names, value_set=_OWN).to_numpy(zero_copy_only=False)
+    ending = np.flatnonzero(pc.match_substring_regex(names, _ENDS).to_numpy(zero_copy_only=False))
+    some, near = names.take(pa.array(ending)), np.zeros(len(ending), bool)
+    for n, begins in wanted.begins.items():
+        near |= pc.is_in(pc.utf8_slice_codeunits(some, 0, n), value_set=begins).to_numpy(zero_copy_only=False)
     # a word is one stem, or none as a stop word; a contraction is up to two
     size = (~pc.is_in(names, value_set=pa.array(ENGLISH)).to_numpy(zero_copy_only=False)).astype(np.int64)
     place = np.full((2, len(names)), -1, np.int32)
-    at = np.flatnonzero(near.to_numpy(zero_copy_only=False))
+    place[0] = pc.index_in(names, value_set=wanted.words).fill_null(-1).to_numpy()
+    place[0, ending] = place[0, size == 0] = place[0, own] = -1
+    at = np.union1d(ending[near], np.flatnonzero(own))
+    at = at[(size[at] > 0) | own[at]]
     for i, word in zip(at, names.take(pa.array(at)).to_pylist(), strict=True):
         stems = _stems(word)
         size[i] = len(stems)
