@@ -44,8 +44,8 @@ def _whole(spark, d) -> DataFrame:
     return _t(spark, d, "documents").select(F.col("doc_id").alias("ord"), "doc_id", F.lit(0).alias("chunk_id"), F.lit("").alias("title"), F.col("text").alias("content"))
 
 
-def _sliced_docs(spark, d) -> DataFrame:
-    x = chunks.slice_texts(_t(spark, d, "documents"), SLICE)
+def _sliced_docs(spark, d, docs: DataFrame | None = None) -> DataFrame:
+    x = chunks.slice_texts(_t(spark, d, "documents") if docs is None else docs, SLICE)
     return x.select((F.col("doc_id") * 100_000 + F.col("chunk_id")).alias("ord"), "doc_id", "chunk_id", F.lit("").alias("title"), "content")
 
 
@@ -87,7 +87,10 @@ def retrieve_bm25(spark, d):
 
 
 def _batch(hits: DataFrame, spark, d) -> DataFrame:
-    x = retrieval.answer_batch(hits, _asked(spark, d), _sliced_docs(spark, d))
+    # only documents that were found are cut again
+    hits = hits.persist()
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(broadcast_if_small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    x = retrieval.answer_batch(hits, _asked(spark, d), _sliced_docs(spark, d, docs))
     ids = F.array_join(F.transform("predicted_docs", lambda v: v.cast("string")), ",")
     return x.select("query_id", ids.alias("predicted_docs"), "prompt", "answer", "status")
 

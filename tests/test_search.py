@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,33 @@ def test_wanted_terms_are_kept_as_numbers(spark, corpus):
     assert listed(some.terms) == listed(every.terms.where("term in ('cat', 'dog')"))
 
 
+@pytest.mark.parametrize("sparse", [0, 10**9])
+def test_few_terms_score_as_a_whole_matrix_does(spark, monkeypatch, sparse):
+    """Chunks that hold few of the terms are scored from those alone (0 scores all so), with the same results."""
+    rng, vocabulary = random.Random(4), [f"w{i}" for i in range(60)]
+    rows = [(i, i, 0, "", " ".join(rng.choices([*vocabulary, "other"], k=rng.choice([0, 1, 5, 40])))) for i in range(300)]
+    docs = spark.createDataFrame(rows, NAMES)
+    index = bm25.build(docs, vocabulary=spark.createDataFrame([(w,) for w in vocabulary], "term string"))
+    q = asked(spark, *(rng.choices([*vocabulary, "unseen"], k=n) for n in (1, 3, 9, 0)))
+    want = {(r["query_id"], r["ord"]): r["score"] for r in bm25.all_scores(bm25.build(docs), q).collect()}
+    a, calls = next(bm25._asked(index, q)), []
+    few = bm25._few
+    monkeypatch.setattr(bm25, "_few", lambda *x: (calls.append(1), few(*x))[1])
+    monkeypatch.setattr(bm25, "SPARSE", sparse)
+    x = bm25._rows(index, a).toArrow().combine_chunks()
+    got = np.concatenate([s for _, s in bm25._scored(index, a)[0](*(c.combine_chunks() for c in x.columns[:3]))])
+    assert bool(calls) == (sparse == 0)
+    assert all(got[i, j] == pytest.approx(want[int(k), int(o)], abs=1e-9) for i, o in enumerate(x["ord"].to_pylist()) for j, k in enumerate(a.ids))
+
+
+def test_found_documents_alone_are_cut_again(spark):
+    from quern.plans import tasks
+
+    sf = "/root/testdata/sf0.001"
+    plan = tasks.qa_batch_bm25(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftSemi, \(doc_id#\d+L = doc_id#\d+L\)", plan)
+
+
 def test_cells_recall(spark):
     from quern.plans.queries import ann_ivf_topk, vector_topk_ip
 
